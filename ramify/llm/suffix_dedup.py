@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ramify.llm.arrow import as_bytes, binary, slices
 from ramify.scratch import saved
 
-_P = np.uint64(0x9E3779B97F4A7C15)
+_P = 0x9E3779B97F4A7C15
 GRAM = 48
 BLOCK = 32
 _ANCHORS = "k1 long, k2 long, p int, h long, lo int, hi int"
@@ -41,13 +41,13 @@ def rolling_hash(data: np.ndarray, k: int = GRAM) -> np.ndarray:
     m = 1
     while 2 * m <= k:
         a = have[m] if k & m else have.pop(m)  # lengths that make up k are kept
-        have[2 * m], power[2 * m] = a[:-m] * power[m] + a[m:], power[m] * power[m]
+        have[2 * m], power[2 * m] = a[:-m] * np.uint64(power[m]) + a[m:], power[m] ** 2 % 2**64
         m *= 2
     out, length = have[m], m
     while length < k:
         m = 1 << ((k - length).bit_length() - 1)
         n = len(data) - length - m + 1
-        out, length = out[:n] * power[m] + have[m][length : length + n], length + m
+        out, length = out[:n] * np.uint64(power[m]) + have[m][length : length + n], length + m
     return (out ^ out >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -259,11 +259,16 @@ def _repeated(rows: DataFrame) -> DataFrame:
 def hot_repeats(contexts: DataFrame, size: int) -> DataFrame:
     """Repeated strings of contexts in hot buckets, decided by counts."""
     blocks = saved(contexts.mapInArrow(_block_rows(size, False), _BLOCK_SCHEMA), "repeat-blocks")
-    told = _repeated(blocks).groupBy("k1", "k2", "p", "lo", "j").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("kind").alias("kind"))
-    told = saved(told, "repeat-told")
-    whole = told.where("kind = 0")
-    doubtful = told.where("kind = 1").groupBy("k1", "k2", "p", "lo").agg(F.sort_array(F.collect_list("j")).alias("blocks"))
-    strings = saved(contexts.join(doubtful, ["k1", "k2", "p", "lo"]).mapInArrow(_block_rows(size, True), _BLOCK_SCHEMA), "repeat-strings")
+    told = saved(_repeated(blocks), "repeat-told")
+    key = ["k1", "k2", "p", "lo", "j"]
+    whole, core = told.where("kind = 0"), told.where("kind = 1")
+    doubtful = core.join(whole.select(key), key, "left_anti")
+    # A string in doubt may also stand in blocks that are repeated as a whole; one of each such
+    # block with a common part in doubt is enough.
+    one = whole.groupBy("x").agg(F.min(F.struct(key)).alias("one")).select("one.*")
+    beside = core.join(one, key).join(doubtful.select("x").distinct(), "x", "left_semi")
+    ask = doubtful.select(key).union(beside.select(key)).groupBy(key[:4]).agg(F.sort_array(F.collect_set("j")).alias("blocks"))
+    strings = saved(contexts.join(ask, key[:4]).mapInArrow(_block_rows(size, True), _BLOCK_SCHEMA), "repeat-strings")
     found = whole.select("k1", "k2", "start", "end").union(_repeated(strings).select("k1", "k2", "start", "end"))
     return found.select(F.lit(None).cast("long").alias("repeat"), "k1", "k2", "start", "end")
 
