@@ -109,13 +109,7 @@ def explore_sigma(reps: DataFrame, n_nodes: int, sigmas: list[float], steps: int
     start, found = starting_nodes(reps, n_nodes, seed), []
     for sigma in sigmas:
         g = tree(reps, n_nodes, sigma=sigma, steps=steps, init=start)
-        sent = reps.sparkSession.sparkContext.broadcast(g.nodes)
-
-        @F.pandas_udf("double")
-        def near(x: pd.Series, sent=sent) -> pd.Series:
-            return pd.Series(pairwise(_matrix(x).T, sent.value).min(axis=1)) if len(x) else pd.Series([], dtype=float)
-
-        found.append((sigma, reps.agg(F.avg(near("x"))).first()[0] if not reps.isEmpty() else 0.0))
+        found.append((sigma, mean_gap(reps, g.nodes)))
     best = knee([s for s, _ in found], [v for _, v in found])
     if second_round:
         more = explore_sigma(reps, n_nodes, list(np.linspace(best, best / 5, 5)), steps, seed)
@@ -123,6 +117,17 @@ def explore_sigma(reps: DataFrame, n_nodes: int, sigmas: list[float], steps: int
     return best, found
 
 
+def mean_gap(reps: DataFrame, nodes: np.ndarray) -> float:
+    """Mean distance to the nearest node."""
+    sent = reps.sparkSession.sparkContext.broadcast(nodes)
+
+    @F.pandas_udf("double")
+    def near(x: pd.Series) -> pd.Series:
+        return pd.Series(pairwise(_matrix(x).T, sent.value).min(axis=1)) if len(x) else pd.Series([], dtype=float)
+
+    return reps.select(near("x").alias("d")).agg(F.avg("d")).first()[0] or 0.0
+
+
 def knee(sigmas: list[float], scores: list[float]) -> float:
     """The point farthest from the chord between the first and the last, on its near side."""
     x, y = np.arange(len(scores), dtype=float), np.array(scores, float)

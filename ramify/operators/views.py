@@ -30,7 +30,7 @@ def edge_values(node_values: DataFrame, edges: DataFrame, low: float | None = No
 
 def arrow_values(cells: DataFrame, value: str) -> DataFrame:
     """node, value: mean over the cells whose edge touches the node."""
-    return cells.select(F.explode(F.split("edge", r"\|")).cast("int").alias("node"), value).groupBy("node").agg(F.avg(value).alias("value"))
+    return cells.select(F.explode(F.split("edge", r"\|").cast("array<int>")).alias("node"), value).groupBy("node").agg(F.avg(value).alias("value"))
 
 
 def arrow_places(graph: PrincipalGraph) -> list[tuple[str, int, int]]:

@@ -447,7 +447,7 @@ def rename_milestones(spark, sf):
 @query(f"""WITH {E}, z AS (SELECT cell, t, CASE WHEN seg = 'click' THEN '0' ELSE '1' END AS seg FROM e WHERE seg IN (SELECT seg FROM e GROUP BY 1 ORDER BY 1 LIMIT 2)),
   u AS (SELECT *, CASE WHEN seg = '0' THEN max(CASE WHEN seg = '0' THEN t END) OVER () - t END AS u FROM z),
   s AS (SELECT *, coalesce(u + max(CASE WHEN seg <> '0' THEN t END) OVER (), t) AS nt FROM u)
-  SELECT cell, round(nt, 4) AS t, CASE WHEN nt <= max(nt) OVER () / 2 THEN '0' ELSE '3' END AS milestones FROM s""")
+  SELECT cell, round(nt, 1) AS t, CASE WHEN nt <= max(nt) OVER () / 2 THEN '0' ELSE '3' END AS milestones FROM s""")
 def unroll_circle(spark, sf):
     e = tables.timeline(spark, sf)
     two = e.select("seg").distinct().orderBy("seg").limit(2)
@@ -456,7 +456,7 @@ def unroll_circle(spark, sf):
     angle = np.arange(k) * 2 * np.pi / k
     adjacency = np.array([[1 if (i - j) % k in (1, k - 1) else 0 for j in range(k)] for i in range(k)])
     g = PrincipalGraph(adjacency, np.vstack([np.cos(angle), np.sin(angle)])).rooted(0)
-    return project.unroll_circle(cells, g)[0].select("cell", rnd("t", 4).alias("t"), "milestones")
+    return project.unroll_circle(cells, g)[0].select("cell", rnd("t", 1).alias("t"), "milestones")
 
 
 # --- associations ---
