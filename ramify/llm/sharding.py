@@ -66,7 +66,7 @@ def bounded_plan(counts: dict[int, int], shards: int, vnodes: int, slack: float
     return plan
 
 
-def bounded_load_shards(df: DataFrame, key: str, tie: list[str], shards: int = 16, vnodes: int = 64, slack: float = 0.0, sub_rows: int = 1000) -> DataFrame:
+def bounded_load_shards(df: DataFrame, key: str, tie: list[str], shards: int = 16, vnodes: int = 64, slack: float = 0.0, sub_rows: int = 200) -> DataFrame:
     """``df`` plus ``shard`` and ``slot`` (gapless from 0 in each shard).
 
     ``key`` is hashed to a place on the ring (null like an empty text); ``tie`` orders rows
@@ -79,6 +79,7 @@ def bounded_load_shards(df: DataFrame, key: str, tie: list[str], shards: int = 1
     placed = saved(df.withColumn("_cell", cell).drop(key), "ring")
     counts = {r["_cell"]: r["n"] for r in placed.groupBy("_cell").agg(F.count("*").alias("n")).collect()}  # CELLS rows at most
     plan = bounded_plan(counts, shards, vnodes, slack)
+    sub_rows = max(sub_rows, sum(counts.values()) // 1_000_000)  # a million sub-cells or so at most
     subs = spark.createDataFrame([(c, -(-n // sub_rows)) for c, n in counts.items()] or [(-1, 1)], "_cell int, _subs int")
     steps = spark.createDataFrame(plan or [(-1, 0, 0, 0, 0)], "_cell int, _lo long, _hi long, shard int, _slot0 long")
     # Both tables have a row per cell and move at most; cells and moves are bounded by constants.
