@@ -1,4 +1,4 @@
-"""Principal graphs: SimplePPT and elastic trees, curves and circles, learned over all rows.
+"""Principal graphs: soft principal trees and elastic trees, curves and circles, learned over all rows.
 
 Rows stay on the executors. A step sends the nodes out and gets back, from each partition, sums
 whose size depends on the graph only; the driver solves for new nodes.
@@ -84,7 +84,7 @@ def default_nodes(n: int, most: int) -> int:
 
 
 def tree(reps: DataFrame, n_nodes: int | None = None, sigma: float = 0.1, lam: float = 1.0, steps: int = 50, err_cut: float = 5e-3, init: np.ndarray | None = None, seed: int = 1, weight: str | None = None) -> PrincipalGraph:
-    """SimplePPT: alternate soft assignment, spanning tree, and a linear solve for the nodes."""
+    """A soft principal tree (Mao et al. 2015): alternate soft assignment, spanning tree, and a linear solve for the nodes."""
     reps = reps.cache()
     try:
         k = n_nodes or default_nodes(reps.count(), 2000)
@@ -220,7 +220,7 @@ def _grown(adjacency: np.ndarray, nodes: np.ndarray, kind: str) -> list[tuple[np
 
 
 def elastic_graph(reps: DataFrame, n_nodes: int, kind: str = "tree", lam: float = 0.01, mu: float = 0.1, radius: float = float("inf"), seed: int = 1, refine: int = 3, tries: int = 12) -> PrincipalGraph:
-    """ElPiGraph-style growth: of all graphs with one node more keep the one with the least energy.
+    """An elastic graph (Albergante et al. 2020): of all graphs with one node more keep the one with the least energy.
 
     All candidates of a round (``tries`` at most, those on the longest edges first) are measured in one job.
     """
