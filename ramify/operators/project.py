@@ -108,6 +108,15 @@ def node_means(assigned: DataFrame, value: str) -> DataFrame:
     return rows.groupBy("node").agg((F.sum(F.col("w") * F.col("v")) / F.when(F.sum("w") != 0, F.sum("w"))).alias("value"))
 
 
+def reassign_time(assigned: DataFrame, graph: PrincipalGraph, time: str) -> tuple[DataFrame, PrincipalGraph]:
+    """t becomes the column ``time``; node times become its R-weighted means, segment lengths their differences."""
+    means = {r["node"]: r["value"] for r in node_means(assigned, time).collect()}  # a row per node
+    at = np.array([means.get(v, np.nan) for v in range(len(graph.degree))], float)
+    at = np.where(np.isnan(at), graph.time, at)
+    segments = tuple(replace(s, d=float(abs(at[s.end] - at[s.start]))) for s in graph.segments)
+    return assigned.withColumn("t", F.col(time).cast("double")), replace(graph, time=at, segments=segments)
+
+
 def root_by_value(assigned: DataFrame, graph: PrincipalGraph, value: str, tips_only: bool = False, least: bool = False) -> int:
     """The node with the largest (or least) mean value; the first on ties."""
     rows = node_means(assigned, value).where(F.col("value").isNotNull())

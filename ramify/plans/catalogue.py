@@ -259,6 +259,28 @@ def fit_cellrank_tree(spark, sf):
     return _graph_rows(spark, fit.tree(rows, 8, sigma=1.0, lam=100, steps=5))
 
 
+@query()
+def fit_edge_assign(spark, sf):
+    v = tables.vectors(spark, sf)
+    return fit.edge_assign(v, fixed_graph(v)).select("cell", F.posexplode("r").alias("node", "w")).where("w > 0")
+
+
+@query()
+def project_edges_time(spark, sf):
+    """Projection onto a hard graph: weights on the two nodes of the nearest edge, then as for soft ones."""
+    v = tables.vectors(spark, sf)
+    g = fixed_graph(v)
+    g = g.rooted(g.tips[0])
+    return project.map_cells(fit.edge_assign(v, g), g).select("cell", "t", "seg", "edge")
+
+
+@query("WITH " + R + ", nv AS (SELECT node, sum(w * CAST(cell AS DOUBLE)) / sum(w) AS t FROM r GROUP BY 1) SELECT CAST(node AS INTEGER) AS node, round(t, 4) AS t FROM nv")
+def project_reassigned_time(spark, sf):
+    a, g = assigned(spark, sf)
+    _, g = project.reassign_time(a.withColumn("time", F.col("cell").cast("double")), g.rooted(g.tips[0]), "time")
+    return spark.createDataFrame([(i, round(float(t), 4)) for i, t in enumerate(g.time)], "node int, t double")
+
+
 # --- graph and rooting ---
 
 H = """ed AS (SELECT -1 AS a, r_regionkey AS b, 1.0::DOUBLE AS w FROM region UNION ALL SELECT n_regionkey, 100 + n_nationkey, 2.0 FROM nation),
@@ -994,6 +1016,14 @@ def assoc_monocle3(spark, sf):
 # --- changes of topology ---
 
 
+@query()
+def graph_cleanup_rows(spark, sf):
+    """Soft assignments after short branches are gone: columns dropped, rows normalised again."""
+    a, g = assigned(spark, sf)
+    small, groups = g.cleaned(1)
+    return fit.regroup(a, groups).select("cell", F.size("r").alias("k"), F.round(F.aggregate("r", F.lit(0.0), lambda s, v: s + v), 6).alias("total"))
+
+
 @query()
 def graph_cleanup(spark, sf):
     g, names = tables.hierarchy_graph(spark, sf)
