@@ -169,7 +169,8 @@ def quality_scores(df: DataFrame, id_col: str, text_col: str, meta_cols: list[st
             meta = meta_features([batch.column(c).to_pylist() for c in names] or [[None] * batch.num_rows]).astype(np.float16)
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([t.tobytes() for t in text], type=pa.binary()), pa.array([np.packbits(m > 0).tobytes() for m in meta], type=pa.binary())], names=["y", "t", "m"])
 
-    sample = rows.join(F.broadcast(chosen), "id").mapInArrow(features, "y int, t binary, m binary").orderBy("y", "t", "m").collect()
+    # Rows that repeat an id count once, so the sample stays as small as the ids chosen.
+    sample = rows.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).mapInArrow(features, "y int, t binary, m binary").orderBy("y", "t", "m").collect()
     y = np.array([r["y"] for r in sample], np.int64)
     models = None
     if (y == 0).sum() > 1 and (y == 1).sum() > 1:
