@@ -252,8 +252,12 @@ _BLOCK_SCHEMA = "k1 long, k2 long, p int, lo int, j int, start int, end int, x l
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
-    """``rows`` whose hash x occurs more than once."""
-    return rows.join(rows.groupBy("x").agg(F.count("*").alias("m")).where("m > 1"), "x")
+    """``rows`` whose hash x occurs more than once.
+
+    The counts are a table of their own: a join of two plain shuffles is one whose hot keys
+    Spark can split, while counts joined where they were made would hold each key in one task.
+    """
+    return rows.join(saved(rows.groupBy("x").agg(F.count("*").alias("m")).where("m > 1"), "repeat-counts"), "x")
 
 
 def hot_repeats(contexts: DataFrame, size: int) -> DataFrame:
@@ -284,7 +288,7 @@ def repeated_spans(df: DataFrame, text_col: str, size: int = 400, bucket_rows: i
     keyed = _keyed(df, text_col).select("k1", "k2", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = keyed.where(F.octet_length("text") >= size).mapInArrow(_anchor_rows(size), _ANCHORS)
     found = saved(found.dropDuplicates(["k1", "k2", "p", "lo"]), "repeat-anchors")
-    shared = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    shared = saved(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "repeat-shared")  # as in _repeated()
     wanted = found.join(shared, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("p", "h", "lo", "hi", "n")).alias("found"))
     texts = keyed.where(F.octet_length("text") >= size).dropDuplicates(["k1", "k2"])
     contexts = saved(texts.join(wanted, ["k1", "k2"]).mapInArrow(_context_rows(size), _CONTEXT), "repeat-contexts")
