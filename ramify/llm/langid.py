@@ -99,7 +99,7 @@ def learn_profiles(df: DataFrame, text_col: str, lang_col: str, size: int = 300)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, held = Letters(), {}
-        for batch in slices(batches, text_col, 4 << 20):
+        for batch in slices(batches, text_col, 1 << 20):
             langs = batch.column(lang_col).to_pylist()
             names = sorted(set(langs))
             owner = np.array([names.index(x) for x in langs], np.int64)
@@ -168,7 +168,7 @@ def with_language(df: DataFrame, text_col: str, profiles: dict[str, list[int]],
         letters = Letters()
         filled = [(c, r) for c, r in tables if len(c)]
         used = [n for n, (c, _) in zip(names, tables, strict=True) if len(c)]
-        for batch in slices(batches, text_col, 2 << 20, 1024):
+        for batch in slices(batches, text_col, 1 << 19, 1024):
             lang, score = predicted(batch.column(text_col).to_pylist(), used, filled, letters, size)
             yield appended(batch, arrow, {"lang_pred": pa.array(lang, type=pa.string()), "score": pa.array(score)})
 
