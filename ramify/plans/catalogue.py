@@ -750,6 +750,12 @@ DC = C + """, gl AS (SELECT gene FROM c GROUP BY 1 ORDER BY 1 LIMIT 4), cl AS (S
 
 
 def _dense(spark, sf) -> DataFrame:
+    c = tables.counts(spark, sf)
+    return preprocess.dense_slice(c, c, c)
+
+
+def _dense_sql(spark, sf) -> DataFrame:
+    """The four genes that DC, the SQL of slide_weighted_corr, incl_mask and get_modules, is about."""
     c = tables.counts(spark, sf)
     return preprocess.dense_slice(c, c, c.select("gene").distinct().orderBy("gene").limit(4))
 
@@ -758,7 +764,7 @@ def _dense(spark, sf) -> DataFrame:
   w AS (SELECT cell, CAST(cell % 3 AS INTEGER) AS win, 1 + (cell % 7) / 10.0 AS w FROM cl), z AS (SELECT rk.cell, gene, win, w, x - sum(w * x) OVER (PARTITION BY win, gene) / sum(w) OVER (PARTITION BY win, gene) AS z FROM rk JOIN w USING (cell))
   SELECT a.win AS "window", a.gene AS a, b.gene AS b, round(sum(a.w * a.z * b.z) / sqrt(sum(a.w * a.z * a.z) * sum(a.w * b.z * b.z)), 6) + 0.0 AS r FROM z a JOIN z b ON a.cell = b.cell AND a.gene <> b.gene GROUP BY 1, 2, 3""")
 def slide_weighted_corr(spark, sf):
-    dense = _dense(spark, sf)
+    dense = _dense_sql(spark, sf)
     ranks = dense.withColumn("rank", relational.average_rank("value", "gene")).select("cell", "gene", "rank")
     w = dense.select("cell").distinct().select("cell", (F.col("cell") % 3).cast("int").alias("window"), (1 + (F.col("cell") % 7) / 10.0).alias("w"))
     return cors.weighted_correlations(ranks, w).withColumn("r", rnd("r"))
@@ -825,7 +831,7 @@ def synchro_inter_cor(spark, sf):
 
 @query(f"WITH {DC}, z AS (SELECT cell, gene FROM de WHERE value <> 0) SELECT a.gene AS a, b.gene AS b, count(*) AS n FROM z a JOIN z b ON a.cell = b.cell AND a.gene < b.gene GROUP BY 1, 2 HAVING count(*) >= 10")
 def incl_mask(spark, sf):
-    return cors.coexpression_mask(_dense(spark, sf), 10)
+    return cors.coexpression_mask(_dense_sql(spark, sf), 10)
 
 
 @query(f"""WITH {M}, p AS (SELECT cell AS gene, row_number() OVER (PARTITION BY cell ORDER BY t, map_id) - 1 AS i, -10.0 * (value - floor(value)) + ln(10 / (1 - exp(-10.0))) AS g FROM m),
@@ -961,7 +967,7 @@ def get_fork_stats(spark, sf):
 @query(f"""WITH {DC}, k AS (SELECT gene, CASE WHEN gene < 'Brand#13' THEN 'b1' ELSE 'b2' END AS branch, CASE WHEN gene IN ('Brand#11', 'Brand#13') THEN 'early' ELSE 'late' END AS module FROM gl)
   SELECT cell, branch, module, round(avg(value), 6) AS value FROM de JOIN k USING (gene) GROUP BY 1, 2, 3""")
 def get_modules(spark, sf):
-    dense = _dense(spark, sf)
+    dense = _dense_sql(spark, sf)
     f = dense.select("gene").distinct().select("gene", F.when(F.col("gene") < "Brand#13", "b1").otherwise("b2").alias("branch"), F.when(F.col("gene").isin("Brand#11", "Brand#13"), "early").otherwise("late").alias("module"))
     return views.modules(dense, dense, f).withColumn("value", rnd("value"))
 

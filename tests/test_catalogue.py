@@ -47,3 +47,15 @@ def test_no_windows_no_rows(spark):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_sets_are_in_the_input(spark):
+    genes = {r[0] for r in catalogue._dense(spark, SF).select("gene").distinct().collect()}
+    assert len(genes) == 25 and all(set(s) <= genes for s in catalogue.SETS)
+
+
+def test_both_sets_correlate(spark):
+    d = SF.replace("0.001", "0.01")
+    rows = catalogue.QUERIES["synchro_path"](spark, d).toPandas()
+    assert rows["corBB"].nunique() > 1 and rows["corAB"].nunique() > 1
+    assert set(catalogue.QUERIES["slide_cors"](spark, d).toPandas()["geneset"]) == {"A", "B"}
