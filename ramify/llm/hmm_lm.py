@@ -177,33 +177,85 @@ def segments(data: bytes) -> list[np.ndarray]:
     return [seq[i : i + SEGMENT] for i in range(0, len(seq), SEGMENT)]
 
 
-def initial(states: int, class_share: np.ndarray, samples: np.ndarray | None = None) -> Model:
-    """A start that differs by state, the same on every run: means of ``states`` clusters of sample
-    texts' class shares (k-means on square roots), or random emissions without samples."""
+def initial(states: int, class_share: np.ndarray, centre: np.ndarray | None = None, texts: np.ndarray | None = None) -> Model:
+    """A start that differs by state, the same on every run: ``centre`` are roots of class shares of
+    clusters of texts and ``texts`` their numbers of texts; random emissions without them."""
     rng = np.random.default_rng(7)
     start = np.full(states, 1 / states)
     emit = class_share[None, :] * rng.gamma(2.0, 1.0, (states, len(class_share)))
-    if samples is not None and len(samples) >= 4 * states:
-        root = np.sqrt(samples)
-        centre = root[[int(np.argmin(((root - root.mean(axis=0)) ** 2).sum(axis=1)))]]
-        while len(centre) < states:
-            gap = ((root[:, None] - centre[None]) ** 2).sum(axis=2).min(axis=1)
-            centre = np.vstack([centre, root[int(np.argmax(gap))]])
-        for _ in range(20):
-            near = ((root[:, None] - centre[None]) ** 2).sum(axis=2).argmin(axis=1)
-            centre = np.vstack([root[near == k].mean(axis=0) if (near == k).any() else centre[k] for k in range(states)])
-        start = (np.bincount(near, minlength=states) + 1) / (len(near) + states)
+    if centre is not None:
+        start = (texts + 1) / (texts.sum() + states)
         emit = 0.8 * centre**2 / (centre**2).sum(axis=1, keepdims=True) + 0.2 * emit / emit.sum(axis=1, keepdims=True)
     move = 0.1 * start[None, :] + 0.9 * np.eye(states)
     return Model(start, move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
 
 
-def sample_shares(sequences: DataFrame, classes: int, size: int = 400) -> np.ndarray:
-    """Class shares of ``size`` texts of 100 to 5,000 tokens, in order of a hash; only the start of training needs them."""
-    n = F.octet_length("classes")
-    rows = sequences.where((n >= 200) & (n <= 10_000)).select("classes").orderBy(F.xxhash64("classes"), "classes").limit(size).collect()
-    counts = np.array([np.bincount(np.frombuffer(bytes(r["classes"]), np.uint16), minlength=classes) for r in rows], float).reshape(-1, classes)
-    return counts / np.maximum(1, counts.sum(axis=1, keepdims=True))
+def root_shares(data: list[bytes], classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Square roots of each text's class shares, and its number of tokens."""
+    n = np.array([len(d) // 2 for d in data], np.int64)
+    code = np.repeat(np.arange(len(data)) * classes, n) + np.frombuffer(b"".join(data), np.uint16)
+    return np.sqrt(np.bincount(code, minlength=len(data) * classes).reshape(-1, classes) / n[:, None]), n
+
+
+def gaps(root: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Squared distances of texts to centres."""
+    return np.maximum(0, (root**2).sum(axis=1)[:, None] - 2 * root @ centre.T + (centre**2).sum(axis=1)[None, :])
+
+
+def text_clusters(sequences: DataFrame, class_share: np.ndarray, states: int, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """k-means over all texts, each weighing as much as its tokens: (centres as roots of shares, texts of each).
+
+    Seeds are drawn from all texts in proportion to weight and squared distance to earlier seeds:
+    the smallest of -log(u) / (weight * distance) wins, where u is a hash of the text, so copies
+    draw once and partitions don't matter. With fewer distinct texts than states the other centres
+    are the shares of the corpus.
+    """
+    classes = len(class_share)
+
+    def draw(centre: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: tuple[float, bytes] | None = None
+            for batch in slices(batches, "classes", 1 << 20, 1024):
+                data = batch.column(0).to_pylist()
+                root, n = root_shares(data, classes)
+                far = gaps(root, centre).min(axis=1) if len(centre) else np.ones(len(n))
+                u = (np.array([xxhash.xxh64_intdigest(d, seed=len(centre) + 1) for d in data], np.float64) + 1) / 2.0**64
+                key = np.where(far > 1e-9, -np.log(np.minimum(u, 1 - 1e-16)) / (n * np.maximum(far, 1e-9)), np.inf)
+                k = int(np.argmin(key))
+                if key[k] < np.inf:
+                    best = min(filter(None, (best, (float(key[k]), data[k]))))
+            if best:
+                yield pa.RecordBatch.from_arrays([pa.array([best[0]]), binary([best[1]])], names=["key", "classes"])
+
+        rows = sequences.select("classes").mapInArrow(run, "key double, classes binary").orderBy("key", "classes").limit(1).collect()
+        return root_shares([bytes(rows[0]["classes"])], classes)[0] if rows else np.sqrt(class_share)[None, :]
+
+    def sums_by(centre: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros((states, classes + 2))
+            for batch in slices(batches, "classes", 1 << 20, 1024):
+                root, n = root_shares(batch.column(0).to_pylist(), classes)
+                mine = np.eye(states)[gaps(root, centre).argmin(axis=1)].T
+                sums += np.hstack([(mine * n) @ root, (mine @ n)[:, None], mine.sum(axis=1)[:, None]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size, dtype=np.int32)), pa.array(sums.ravel())], names=["k", "x"])
+
+        out = np.zeros(states * (classes + 2))
+        for r in sequences.select("classes").mapInArrow(run, "k int, x double").groupBy("k").agg(F.sum("x").alias("x")).collect():  # one row for each sum
+            out[r["k"]] = r["x"]
+        return out.reshape(states, classes + 2)
+
+    centre = np.zeros((0, classes))
+    while len(centre) < states:
+        centre = np.vstack([centre, draw(centre)])
+    texts = np.zeros(states)
+    for _ in range(rounds):
+        sums = sums_by(centre)
+        texts, weight = sums[:, -1], sums[:, -2:-1]
+        moved = np.where(weight > 0, sums[:, :-2] / np.maximum(weight, 1), centre)
+        still, centre = np.abs(moved - centre).max() < 1e-4, moved
+        if still:
+            break
+    return centre, texts
 
 
 def trained(sequences: DataFrame, classes: int, states: int, rounds: int) -> Model:
@@ -228,7 +280,8 @@ def trained(sequences: DataFrame, classes: int, states: int, rounds: int) -> Mod
         return out
 
     share = counts_of(None) + 0.5
-    model = initial(states, share / share.sum(), sample_shares(sequences, classes))
+    share /= share.sum()
+    model = initial(states, share, *text_clusters(sequences, share, states))
     for _ in range(rounds):
         sums = counts_of(model)
         start, move, emit = sums[:states] + 0.1, sums[states : states + states**2].reshape(states, states) + 0.1, sums[states + states**2 :].reshape(states, classes) + 0.01

@@ -177,6 +177,21 @@ def test_forward_is_exact():
     assert log10_forward(long, m)[0] == pytest.approx(log)
 
 
+def test_language_model_starts_from_all_texts(spark):
+    import numpy as np
+
+    from ramify.llm.hmm_lm import trained
+
+    rng = np.random.default_rng(4)
+    copy = np.full(150, 7, np.uint16)
+    short = [rng.integers(low, low + 3, 60).astype(np.uint16) for low in (0, 3) for _ in range(100)]
+    for copies, one_by_one in ((450, short), (0, short), (0, [short[0], short[-1]])):  # copies, short texts only, and few of them
+        df = spark.createDataFrame([(bytearray(s.tobytes()),) for s in [copy] * copies + one_by_one], "classes binary").repartition(3)
+        emit = trained(df, 8, 3, 0).emit
+        left, right = emit[:, :3].sum(axis=1), emit[:, 3:6].sum(axis=1)
+        assert left.max() > 0.8 and right.max() > 0.8
+
+
 def test_bpe(spark, small):
     d, ids, rows = small
     assert got(spark, "op10_bpe", d, ["n_tokens", "ids_sha256", "decoded_sha256"]) == brute.bpe(rows)
