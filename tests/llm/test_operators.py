@@ -103,6 +103,34 @@ def test_quality(spark, small):
     assert list(out.doc_id) == ids and out[["text_score", "meta_score", "score"]].stack().between(0, 1).all()
 
 
+def test_quality_repeated_ids_dont_fill_the_sample(spark):
+    from ramify.llm.quality import quality_scores
+
+    word = ["fine words.", "BAD! 99"]
+    docs = spark.createDataFrame([(i, f"{word[i % 2]} {i}", "s") for i in range(16) for _ in range(40)], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(16)], "doc_id long, quality int")
+    out = quality_scores(docs, "doc_id", "text", ["source"], labels, "doc_id", "quality", max_labelled=16).toPandas()
+    assert (out.text_score[out.doc_id % 2 == 0].min() > out.text_score[out.doc_id % 2 == 1].max()) and len(out) == 640
+
+
+def test_quality_uses_all_unlabelled_rows(spark, monkeypatch):
+    from ramify.llm import quality
+
+    n, seen = 8_500, []
+    train = quality.co_trained
+
+    def spy(*args):
+        seen.append(int(quality.summed(args[3], lambda x: [[len(x[0])]], [1])[0][0]))
+        return train(*args)
+
+    monkeypatch.setattr(quality, "co_trained", spy)
+    word = ["fine words.", "BAD! 99"]
+    docs = spark.createDataFrame([(None if i % 9 == 8 else i, f"{word[i % 2]} {i % 50}", "s") for i in range(n)], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(8)], "doc_id long, quality int")
+    assert quality.quality_scores(docs, "doc_id", "text", ["source"], labels, "doc_id", "quality").count() == n
+    assert seen == [n - 8]
+
+
 def test_simhash(spark, small):
     d, ids, rows = small
     fps = [brute.simhash(t) for t in rows]
