@@ -716,8 +716,10 @@ def activation_lm_slope(spark, sf):
 
 @query()
 def activation_lm(spark, sf):
-    cells, expr = _cells_and_expr(spark, sf)
-    return fork.activation_lm(expr, cells.where("t < 5").select("cell", "t"))
+    """The fork is where the first branch ends, as in fork_effect."""
+    paths, expr = _paths(spark, sf)
+    fork_t = paths.groupBy("branch").agg(F.max("t").alias("m")).agg(F.min("m")).first()[0]
+    return fork.activation_lm(expr, paths.where(F.col("t") < fork_t).select("cell", "t"))
 
 
 # --- correlations ---

@@ -59,3 +59,12 @@ def test_both_sets_correlate(spark):
     rows = catalogue.QUERIES["synchro_path"](spark, d).toPandas()
     assert rows["corBB"].nunique() > 1 and rows["corAB"].nunique() > 1
     assert set(catalogue.QUERIES["slide_cors"](spark, d).toPandas()["geneset"]) == {"A", "B"}
+
+
+def test_activation_lm_takes_cells_up_to_the_fork(spark, monkeypatch):
+    seen, test = [], catalogue.fork.activation_lm
+    monkeypatch.setattr(catalogue.fork, "activation_lm", lambda expr, before: seen.append(before.toPandas()) or test(expr, before))
+    out = catalogue.QUERIES["activation_lm"](spark, SF).toPandas()
+    paths = catalogue._paths(spark, SF)[0].toPandas()
+    fork_t = paths.groupby("branch").t.max().min()
+    assert len(out) == 25 and set(seen[0].cell) == set(paths.cell[paths.t < fork_t])
