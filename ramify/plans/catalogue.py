@@ -521,7 +521,7 @@ def assoc_covariate(spark, sf):
 @query()
 def fit_gam(spark, sf):
     cells, expr = _cells_and_expr(spark, sf)
-    return assoc.fit_features(expr.where("gene < 'Brand#2'"), cells.withColumn("branch", F.col("seg")), knots=6)
+    return assoc.fit_features(expr, cells.withColumn("branch", F.col("seg")), knots=6)
 
 
 @query()
@@ -556,13 +556,13 @@ def cov_gam_nested(spark, sf):
 def view_trend_covariate(spark, sf):
     cells, expr = _cells_and_expr(spark, sf)
     two = cells.where(F.col("batch").isin("BUILDING", "MACHINERY"))
-    return assoc.trend_covariate(expr.where("gene < 'Brand#12'").join(two, "cell", "left_semi"), two, "batch")
+    return assoc.trend_covariate(expr.join(two, "cell", "left_semi"), two, "batch")
 
 
 @query()
 def activation_gam(spark, sf):
     paths, expr = _paths(spark, sf)
-    features = expr.where("gene < 'Brand#2'").select("gene").distinct().withColumn("branch", F.lit("b1"))
+    features = expr.select("gene").distinct().withColumn("branch", F.lit("b1"))
     return fork.activation(expr, paths, features, 5.0)
 
 
@@ -938,7 +938,7 @@ def view_trajectory_arrows(spark, sf):
 @query()
 def view_trends(spark, sf):
     cells, expr = _cells_and_expr(spark, sf)
-    fitted = assoc.fit_features(expr.where("gene < 'Brand#2'"), cells.withColumn("branch", F.col("seg")), knots=6)
+    fitted = assoc.fit_features(expr, cells.withColumn("branch", F.col("seg")), knots=6)
     return views.mean_trajectory(fitted.withColumn("fitted", relational.min_max("fitted", "gene")), cells, 10)
 
 
@@ -1017,7 +1017,7 @@ def moran_i(spark, sf):
 def assoc_monocle3(spark, sf):
     v = tables.vectors(spark, sf)
     edges = preprocess.knn(v, 9, 8).select("src", "dst", F.lit(1.0).alias("w"))
-    values = v.select("cell", F.posexplode(F.slice("x", 1, 8)).alias("dim", "value")).select("cell", F.concat(F.lit("g"), F.col("dim").cast("string")).alias("gene"), "value")
+    values = v.select("cell", F.posexplode("x").alias("dim", "value")).select("cell", F.concat(F.lit("g"), F.col("dim").cast("string")).alias("gene"), "value")
     return assoc.test_association_monocle3(values, values, edges)
 
 

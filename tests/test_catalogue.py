@@ -68,3 +68,15 @@ def test_activation_lm_takes_cells_up_to_the_fork(spark, monkeypatch):
     paths = catalogue._paths(spark, SF)[0].toPandas()
     fork_t = paths.groupby("branch").t.max().min()
     assert len(out) == 25 and set(seen[0].cell) == set(paths.cell[paths.t < fork_t])
+
+
+@pytest.mark.parametrize("name", ["fit_gam", "activation_gam", "view_trend_covariate", "assoc_monocle3"])
+def test_all_features(spark, name):
+    n = 64 if name == "assoc_monocle3" else 25
+    assert catalogue.QUERIES[name](spark, SF).select("gene").distinct().count() == n
+
+
+def test_trends_of_all_features(spark, monkeypatch):
+    seen, smooth = [], catalogue.assoc.fit_features
+    monkeypatch.setattr(catalogue.assoc, "fit_features", lambda expr, *a, **k: seen.append(expr.select("gene").distinct().count()) or smooth(expr, *a, **k))
+    assert catalogue.QUERIES["view_trends"](spark, SF).count() > 0 and seen == [25]
