@@ -138,45 +138,84 @@ def class_sequences(df: DataFrame, id_col: str, text_col: str, held_col: str, se
     return df.select(id_col, text_col, held_col).mapInArrow(run, f"row long, id {kind}, held_out boolean, n_tokens long, frequent long, log_c double, classes binary, rare binary")
 
 
-def expected_counts(seqs: list[np.ndarray], m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Forward-backward over all sequences at once, longest first: expected starts, moves and emissions."""
-    seqs = sorted((s for s in seqs if len(s)), key=len, reverse=True)
+def products(obs: np.ndarray, live: list[int], fresh: np.ndarray, m: Model) -> np.ndarray:
+    """Product of each segment's steps (move, then emit), up to a factor; a ``fresh`` segment begins with the start."""
+    s_n, table = len(m.start), np.ascontiguousarray(m.emit.T)
+    moves = np.where(fresh[:, None, None], m.start[None, None, :], m.move[None])
+    out = moves * table[obs[0]][:, None, :]
+    for t in range(1, len(live)):
+        n = live[t]
+        step = (out[:n].reshape(-1, s_n) @ m.move).reshape(n, s_n, s_n) * table[obs[t, :n]][:, None, :]
+        out[:n] = step / step.max(axis=(1, 2), keepdims=True) if t % 8 == 7 else step
+    return out / out.max(axis=(1, 2), keepdims=True)
+
+
+def expected_counts(seqs: list[np.ndarray], m: Model, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward-backward over all sequences: expected starts, moves and emissions.
+
+    Sequences are cut into segments, which are all run at once, longest first. What comes before and
+    after a segment is a vector each, carried over by the products of the other segments, so cuts
+    change nothing.
+    """
+    seqs = [s for s in seqs if len(s)]
     s_n, c_n = m.emit.shape
     start, move, emit = np.zeros(s_n), np.zeros((s_n, s_n)), np.zeros((s_n, c_n))
     if not seqs:
         return start, move, emit
-    sizes = np.array([len(s) for s in seqs])
-    obs = np.zeros((sizes[0], len(seqs)), np.int64)
-    for i, s in enumerate(seqs):
-        obs[: len(s), i] = s
-    live = [int(np.searchsorted(-sizes, -t, side="left")) for t in range(sizes[0])]  # sequences longer than t
+    cut = [(i, k, s[a : a + segment]) for i, s in enumerate(seqs) for k, a in enumerate(range(0, len(s), segment))]
+    cut.sort(key=lambda c: (-len(c[2]), c[0], c[1]))
+    sizes = np.array([len(c) for _, _, c in cut])
+    fresh = np.array([k == 0 for _, k, _ in cut])
+    obs = np.zeros((sizes[0], len(cut)), np.int64)
+    for col, (_, _, c) in enumerate(cut):
+        obs[: len(c), col] = c
+    live = [int(np.searchsorted(-sizes, -t, side="left")) for t in range(sizes[0])]  # segments longer than t
+
+    # Messages: of the states before each segment, and of what follows its last token.
+    before, after = np.full((len(cut), s_n), 1 / s_n), np.ones((len(cut), s_n))
+    many = [len(s) > segment for s in seqs]
+    part = np.array([col for col, (i, _, _) in enumerate(cut) if many[i]], np.int64)
+    if len(part):
+        product = products(obs[:, part], [int(np.searchsorted(part, n)) for n in live], fresh[part], m)
+        place = {cut[col][:2]: at for at, col in enumerate(part.tolist())}
+        links: list[list[tuple[int, int]]] = [[] for _ in range(max(k for _, k in place))]
+        for (i, k), at in place.items():
+            if (i, k + 1) in place:
+                links[k].append((at, place[i, k + 1]))
+        steps = [np.array(x, np.int64) for x in links]
+        for pairs in steps:
+            a, b = pairs.T
+            v = np.einsum("ns,nst->nt", before[part[a]], product[a])
+            before[part[b]] = v / v.sum(axis=1, keepdims=True)
+        for pairs in reversed(steps):
+            a, b = pairs.T
+            v = np.einsum("nst,nt->ns", product[b], after[part[b]])
+            after[part[a]] = v / v.sum(axis=1, keepdims=True)
+
     table = np.ascontiguousarray(m.emit.T)
     ahead, scales = [], []
     for t, n in enumerate(live):
-        a = (m.start if t == 0 else ahead[-1][:n] @ m.move) * table[obs[t, :n]]
+        a = (np.where(fresh[:, None], m.start, before @ m.move) if t == 0 else ahead[-1][:n] @ m.move) * table[obs[t, :n]]
         scale = a.sum(axis=1, keepdims=True)
         ahead.append(a / scale)
         scales.append(scale)
-    beta = np.ones((len(seqs), s_n))
+    last = np.stack([ahead[n - 1][col] for col, n in enumerate(sizes)])
+    beta = after / (last * after).sum(axis=1, keepdims=True)
     for t in reversed(range(len(live))):
         n = live[t]
         gamma = ahead[t] * beta[:n]
         for s in range(s_n):
             emit[s] += np.bincount(obs[t, :n], weights=gamma[:, s], minlength=c_n)
+        out = table[obs[t, :n]] * beta[:n] / scales[t]
         if t == 0:
-            start += gamma.sum(axis=0)
+            start += gamma[fresh].sum(axis=0)
+            move += before[~fresh].T @ out[~fresh]
         else:
-            out = table[obs[t, :n]] * beta[:n] / scales[t]
             move += ahead[t - 1][:n].T @ out
             beta[:n] = out @ m.move.T
     return start, move * m.move, emit
 
 
-def segments(data: bytes) -> list[np.ndarray]:
-    seq = np.frombuffer(data, np.uint16)
-    return [seq[i : i + SEGMENT] for i in range(0, len(seq), SEGMENT)]
-
-
 def initial(states: int, class_share: np.ndarray, centre: np.ndarray | None = None, texts: np.ndarray | None = None) -> Model:
     """A start that differs by state, the same on every run: ``centre`` are roots of class shares of
     clusters of texts and ``texts`` their numbers of texts; random emissions without them."""
@@ -259,7 +298,7 @@ def text_clusters(sequences: DataFrame, class_share: np.ndarray, states: int, ro
 
 
 def trained(sequences: DataFrame, classes: int, states: int, rounds: int) -> Model:
-    """Baum-Welch over all rows of ``sequences`` (column classes), in segments of SEGMENT tokens."""
+    """Baum-Welch over all rows of ``sequences`` (column classes)."""
     size = states + states * states + states * classes
 
     def counts_of(m: Model | None):
@@ -270,7 +309,7 @@ def trained(sequences: DataFrame, classes: int, states: int, rounds: int) -> Mod
                 if m is None:
                     sums += np.bincount(np.frombuffer(b"".join(data), np.uint16), minlength=classes)
                 else:
-                    sums += np.concatenate([x.ravel() for x in expected_counts([s for d in data for s in segments(d)], m)])
+                    sums += np.concatenate([x.ravel() for x in expected_counts([np.frombuffer(d, np.uint16) for d in data], m)])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums), dtype=np.int32)), pa.array(sums)], names=["k", "x"])
 
         rows = sequences.select("classes").mapInArrow(run, "k int, x double").groupBy("k").agg(F.sum("x").alias("x")).collect()  # one row for each parameter

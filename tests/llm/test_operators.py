@@ -220,6 +220,33 @@ def test_language_model_starts_from_all_texts(spark):
         assert left.max() > 0.8 and right.max() > 0.8
 
 
+def test_expected_counts_cross_segments():
+    import numpy as np
+
+    from ramify.llm.hmm_lm import expected_counts, initial
+
+    rng = np.random.default_rng(2)
+    m = initial(3, np.array([0.5, 0.2, 0.3]))
+    seqs = [rng.integers(0, 3, n).astype(np.uint16) for n in (700, 1, 128, 129, 300, 256, 5)]
+    start, move, emit = np.zeros(3), np.zeros((3, 3)), np.zeros((3, 3))
+    for s in seqs:  # token by token
+        ahead, beta = [m.start * m.emit[:, s[0]]], np.ones(3)
+        for c in s[1:]:
+            ahead.append(ahead[-1] / ahead[-1].sum() @ m.move * m.emit[:, c])
+        for t in reversed(range(len(s))):
+            gamma = ahead[t] * beta
+            emit[:, s[t]] += gamma / gamma.sum()
+            if t == 0:
+                start += gamma / gamma.sum()
+            else:
+                pair = ahead[t - 1][:, None] * m.move * (m.emit[:, s[t]] * beta)[None, :]
+                move += pair / pair.sum()
+                beta = m.move @ (m.emit[:, s[t]] * beta)
+                beta /= beta.sum()
+    for x, want in zip(expected_counts(seqs, m), (start, move, emit), strict=True):
+        assert x == pytest.approx(want)
+
+
 def test_bpe(spark, small):
     d, ids, rows = small
     assert got(spark, "op10_bpe", d, ["n_tokens", "ids_sha256", "decoded_sha256"]) == brute.bpe(rows)
