@@ -247,6 +247,20 @@ def test_expected_counts_cross_segments():
         assert x == pytest.approx(want)
 
 
+def test_training_counts_whole_texts(spark):
+    import numpy as np
+
+    from ramify.llm.hmm_lm import expected_counts, trained
+
+    rng = np.random.default_rng(6)
+    seqs = [rng.integers(0, 4, n).astype(np.uint16) for n in (900, 400, 30)]
+    df = spark.createDataFrame([(bytearray(s.tobytes()),) for s in seqs], "classes binary")
+    start, move, _ = expected_counts(seqs, trained(df, 4, 3, 0))
+    m = trained(df, 4, 3, 1)
+    assert m.start == pytest.approx((start + 0.1) / (start + 0.1).sum())
+    assert m.move == pytest.approx((move + 0.1) / (move + 0.1).sum(axis=1, keepdims=True))
+
+
 def test_bpe(spark, small):
     d, ids, rows = small
     assert got(spark, "op10_bpe", d, ["n_tokens", "ids_sha256", "decoded_sha256"]) == brute.bpe(rows)
