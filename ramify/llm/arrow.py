@@ -1,4 +1,9 @@
-"""Small helpers for Arrow-batched Python stages."""
+"""Small helpers for Arrow-batched Python stages.
+
+Spark cuts Arrow batches by rows alone, 10,000 of them unless told otherwise, so a batch of long
+texts has no bound. ``small_batches`` makes that ROWS for the session, if it still has Spark's
+default; every operator that sends texts to Python calls it.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +11,17 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+
+ROWS = 512
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session now sends Python at most ROWS rows at a time (a setting of the user's own stays)."""
+    if df.sparkSession.conf.get(_BATCH) == "10000":
+        df.sparkSession.conf.set(_BATCH, str(ROWS))
+    return df
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int, max_rows: int = 4096) -> Iterator[pa.RecordBatch]:
@@ -20,6 +36,19 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int, max_r
             start += n
 
 
+def gathered(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until ``column`` holds ``max_bytes`` or so, for work with a fixed cost per batch."""
+    held, size = [], 0
+    for batch in slices(batches, column, max_bytes):
+        held.append(batch)
+        size += int(pa.compute.sum(pa.compute.binary_length(batch.column(column))).as_py() or 0)
+        if size >= max_bytes:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ramify.llm.arrow import binary, slices
+from ramify.llm.arrow import binary, slices, small_batches
 from ramify.scratch import saved_by
 
 
@@ -155,22 +155,28 @@ def _assemble(ranks, carried: pa.Schema):
             begin[k] = done + np.cumsum(size[k]) - size[k]
             done += len(flat[-1])
         every = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
-        n_tokens, token_ids, decoded = [], [], []
-        for at in docs["at"].to_pylist():
-            k = from_planes(unpacked(at))
+        schema = pa.schema([*carried, pa.field("n_tokens", pa.int64()), pa.field("token_ids", pa.binary()), pa.field("decoded", pa.binary())])
+        parts, done, n_tokens, token_ids, decoded, held = [], 0, [], [], [], 0
+        docs = docs.combine_chunks()
+        for i in range(docs.num_rows):
+            k = from_planes(unpacked(docs["at"][i].as_py()))
             n = size[k]
             mine = every[np.repeat(begin[k] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
             n_tokens.append(len(mine))
             token_ids.append(mine.astype("<u4").tobytes())
             decoded.append(b"".join(map(token.__getitem__, mine.tolist())))
-        schema = pa.schema([*carried, pa.field("n_tokens", pa.int64()), pa.field("token_ids", pa.binary()), pa.field("decoded", pa.binary())])
-        cols = {"n_tokens": pa.array(n_tokens, type=pa.int64()), "token_ids": binary(token_ids), "decoded": binary(decoded)}
-        return pa.table([cols[f.name] if f.name in cols else docs[f.name] for f in schema], schema=schema)
+            held += len(decoded[-1])
+            if held >= 1 << 21 or i == docs.num_rows - 1:  # batches of a few MB, so that Spark never holds a whole chunk
+                cols = {"n_tokens": pa.array(n_tokens, type=pa.int64()), "token_ids": binary(token_ids), "decoded": binary(decoded)}
+                mine_docs = docs.slice(done, i + 1 - done)
+                parts += pa.table([cols[f.name] if f.name in cols else mine_docs[f.name] for f in schema], schema=schema).to_batches()
+                done, n_tokens, token_ids, decoded, held = i + 1, [], [], [], 0
+        return pa.Table.from_batches(parts, schema)
 
     return run
 
 
-def encoded(df: DataFrame, text_col: str, keep: list[str], ranks: dict[bytes, int], pattern: str, chunk_chars: int = 24_000_000, buckets: int | None = None) -> DataFrame:
+def encoded(df: DataFrame, text_col: str, keep: list[str], ranks: dict[bytes, int], pattern: str, chunk_chars: int = 16_000_000, buckets: int | None = None) -> DataFrame:
     """``keep`` plus n_tokens, token_ids (little-endian unsigned 32-bit) and decoded (bytes).
 
     Null texts count as empty and give no tokens. ``chunk_chars`` bounds what one task puts
@@ -186,7 +192,7 @@ def encoded(df: DataFrame, text_col: str, keep: list[str], ranks: dict[bytes, in
     carried = to_arrow_schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in kept]))
     sent = df.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary file: a fixed table
     split_schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in kept] + list(T._parse_datatype_string("chunk long, at binary, bucket int, words binary, numbers binary, n int").fields))
-    source = df.select(*dict.fromkeys([*keep, text_col]))
+    source = small_batches(df).select(*dict.fromkeys([*keep, text_col]))
     buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # In buckets by chunk, so that texts need not move again when their words' ids come back.
     parts = saved_by(source.mapInArrow(_split(pattern, text_col, carried, chunk_chars, buckets), split_schema), "bpe", "chunk", buckets)

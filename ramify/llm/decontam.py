@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ramify.llm.arrow import appended, as_bytes, slices
+from ramify.llm.arrow import appended, as_bytes, gathered, small_batches
 
 #: Lower-cases A-Z, keeps digits, letters and all bytes above ASCII; all else separates words.
 _WORDS = bytes(b if 48 <= b < 58 or 97 <= b < 123 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -179,7 +179,7 @@ def benchmark_hits(docs: DataFrame, text_col: str, benchmark: DataFrame, item_co
     words; items without words have no phrase; item ids become strings, null an empty one. The
     three new columns replace columns of the same names.
     """
-    out = docs.drop("n_words", "spans", "item_ids")
+    out = small_batches(docs).drop("n_words", "spans", "item_ids")
     kept = list(out.columns)
     added = "n_words long, spans array<struct<start:long,end:long>>, item_ids array<string>"
     schema = T.StructType(list(out.schema.fields) + list(T._parse_datatype_string(added).fields))
@@ -199,7 +199,7 @@ def _pass(df: DataFrame, schema: T.StructType, text_col: str, block: list[tuple[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases(sent.value, window)
-        for batch in slices(batches, text_col, 16 << 20, 10_000):
+        for batch in gathered(batches, text_col, 8 << 20):
             n_words, spans, owned = phrases.hits(as_bytes(batch.column(text_col)))
             if more:
                 for i, (old, ids) in enumerate(zip(batch.column("spans").to_pylist(), batch.column("item_ids").to_pylist(), strict=True)):

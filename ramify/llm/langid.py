@@ -15,9 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ramify.llm.arrow import slices
+from ramify.llm.arrow import slices, small_batches
 
 _SHIFT = 21  # bits of a code point
+#: UTF-8 bytes of texts that are counted at once: n-grams take some 200 bytes for each of them.
+_SLICE = 1 << 18
 
 
 class Letters:
@@ -99,7 +101,7 @@ def learn_profiles(df: DataFrame, text_col: str, lang_col: str, size: int = 300)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, held = Letters(), {}
-        for batch in slices(batches, text_col, 1 << 20):
+        for batch in slices(batches, text_col, _SLICE):
             langs = batch.column(lang_col).to_pylist()
             names = sorted(set(langs))
             owner = np.array([names.index(x) for x in langs], np.int64)
@@ -112,7 +114,7 @@ def learn_profiles(df: DataFrame, text_col: str, lang_col: str, size: int = 300)
         for name, (codes, counts) in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), type=pa.string()), pa.array(codes), pa.array(counts)], names=["lang", "gram", "n"])
 
-    rows = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(text_col, lang_col)
+    rows = small_batches(df).where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(text_col, lang_col)
     totals = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     best = totals.withColumn("r", F.row_number().over(order)).where(F.col("r") <= size)
@@ -154,7 +156,7 @@ def with_language(df: DataFrame, text_col: str, profiles: dict[str, list[int]],
 
     from ramify.llm.arrow import appended
 
-    base = df.drop("lang_pred", "score")
+    base = small_batches(df).drop("lang_pred", "score")
     schema = T.StructType(list(base.schema.fields) + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     arrow = to_arrow_schema(schema)
     names = sorted(profiles)
@@ -168,7 +170,7 @@ def with_language(df: DataFrame, text_col: str, profiles: dict[str, list[int]],
         letters = Letters()
         filled = [(c, r) for c, r in tables if len(c)]
         used = [n for n, (c, _) in zip(names, tables, strict=True) if len(c)]
-        for batch in slices(batches, text_col, 1 << 19, 1024):
+        for batch in slices(batches, text_col, _SLICE):
             lang, score = predicted(batch.column(text_col).to_pylist(), used, filled, letters, size)
             yield appended(batch, arrow, {"lang_pred": pa.array(lang, type=pa.string()), "score": pa.array(score)})
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ramify.llm.arrow import as_bytes
+from ramify.llm.arrow import as_bytes, small_batches
 from ramify.llm.components import connected_components
 from ramify.scratch import saved
 
@@ -49,7 +49,7 @@ def with_fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    return small_batches(df).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp long")
 
 
 def pivots(n: int) -> np.ndarray:

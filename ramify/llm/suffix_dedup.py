@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ramify.llm.arrow import as_bytes, binary, slices
+from ramify.llm.arrow import as_bytes, binary, slices, small_batches
 from ramify.scratch import saved
 
 _P = 0x9E3779B97F4A7C15
@@ -285,7 +285,7 @@ def repeated_spans(df: DataFrame, text_col: str, size: int = 400, bucket_rows: i
     """
     if size < 2 * GRAM:
         raise ValueError(f"size must be {2 * GRAM} at least")
-    keyed = _keyed(df, text_col).select("k1", "k2", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    keyed = _keyed(small_batches(df), text_col).select("k1", "k2", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = keyed.where(F.octet_length("text") >= size).mapInArrow(_anchor_rows(size), _ANCHORS)
     found = saved(found.dropDuplicates(["k1", "k2", "p", "lo"]), "repeat-anchors")
     shared = saved(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "repeat-shared")  # as in _repeated()
