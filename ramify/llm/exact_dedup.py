@@ -29,46 +29,55 @@ def normalised(text: Column) -> Column:
 def repeated_fingerprints(df: DataFrame, fingerprint: str, block_bits: int = 10) -> DataFrame:
     """Column ``fp``: the values of the long column ``fingerprint`` that more than one row has."""
 
+    total = 64 - block_bits
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        held, counts, fresh, n = np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
+
+        def compact() -> tuple[np.ndarray, np.ndarray]:
+            every = np.concatenate([held, *fresh])
+            order = np.argsort(every, kind="stable")
+            every, c = every[order], np.concatenate([counts, np.ones(n, np.int64)])[order]
+            first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]][: len(every)])
+            return every[first], np.add.reduceat(c, first) if len(every) else c
+
         for batch in batches:
-            more = np.asarray(batch.column(0)).view(np.uint64)
-            held, counts = np.concatenate([held, more]), np.concatenate([counts, np.ones(len(more), np.int64)])
-            order = np.argsort(held, kind="stable")
-            held, counts = held[order], counts[order]
-            first = np.flatnonzero(np.r_[True, held[1:] != held[:-1]][: len(held)])
-            held, counts = held[first], np.add.reduceat(counts, first) if len(held) else counts
-        blocks = (held >> np.uint64(64 - block_bits)).astype(np.int64)
+            fresh.append(np.asarray(batch.column(0)).view(np.uint64))
+            n += batch.num_rows
+            if n > max(1 << 18, len(held)):  # so that each fingerprint is sorted a few times at most
+                (held, counts), fresh, n = compact(), [], 0
+        held, counts = compact()
+        blocks = (held >> np.uint64(total)).astype(np.int64)
         starts = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]][: len(blocks)])
         rows = []
         for a, b in zip(starts, np.r_[starts[1:], len(blocks)], strict=True) if len(blocks) else ():
-            low = held[a:b] & np.uint64((1 << (64 - block_bits)) - 1)
-            rows.append((int(blocks[a]), *QuotientFilter.of(low, counts[a:b], total_bits=64 - block_bits).packed()))
+            low = held[a:b] & np.uint64((1 << total) - 1)
+            rows.append((int(blocks[a]), *QuotientFilter.of_sorted(low, counts[a:b], total).packed()))
         names = ("block", "occupied", "run_end", "remainders", "counts")
         if rows:
             kinds = (pa.int32(), *[pa.binary()] * 4)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merged: tuple[int, QuotientFilter] | None = None
-        bits = 64 - block_bits - 6
+        block, stack = None, []  # filters of the block, each more than twice as large as the next
 
-        def repeated(done: tuple[int, QuotientFilter]) -> pa.RecordBatch:
-            block, f = done
-            fp = f.fingerprints()[f.counts > 1] | np.uint64(block) << np.uint64(64 - block_bits)
+        def repeated() -> pa.RecordBatch:
+            while len(stack) > 1:
+                stack.append(stack.pop().merge(stack.pop()))
+            f = stack.pop()
+            fp = f.fingerprints()[f.counts > 1] | np.uint64(block) << np.uint64(total)
             return pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64))], names=["fp"])
 
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                f = QuotientFilter.unpacked(*row[1:], bits)
-                if merged and merged[0] == row[0]:
-                    merged = (row[0], merged[1].merge(f))
-                else:
-                    if merged:
-                        yield repeated(merged)
-                    merged = (row[0], f)
-        if merged:
-            yield repeated(merged)
+                if stack and block != row[0]:
+                    yield repeated()
+                block = row[0]
+                stack.append(QuotientFilter.unpacked(*row[1:], total - (len(row[1]) * 8).bit_length() + 1))
+                while len(stack) > 1 and len(stack[-2].counts) <= 2 * len(stack[-1].counts):
+                    stack.append(stack.pop().merge(stack.pop()))
+        if stack:
+            yield repeated()
 
     filters = df.select(fingerprint).mapInArrow(build, "block int, occupied binary, run_end binary, remainders binary, counts binary")
     return filters.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "fp long")
