@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ramify.llm.arrow import as_bytes, binary, slices
+from ramify.llm.arrow import as_bytes, binary, slices, small_batches
 from ramify.llm.bpe import Numbering
 from ramify.scratch import saved
 
@@ -77,12 +77,13 @@ class Model:
 
 @dataclass
 class Vocabulary:
-    """What tasks know of the words: frequent ones, and the totals of each class."""
+    """What is known of the words: frequent ones in order of their hashes, and the totals of each class."""
 
     total: int
     distinct: int
-    frequent: dict[int, int] = field(repr=False)  # hash -> count
-    single: dict[int, int] = field(repr=False)  # hash -> class
+    hashes: np.ndarray = field(repr=False)
+    counts: np.ndarray = field(repr=False)
+    single: np.ndarray = field(repr=False)  # the word's own class, or -1
     sums: np.ndarray = field(repr=False)  # log10 of tokens + distinct words + 1, by class
 
     @property
@@ -93,16 +94,18 @@ class Vocabulary:
 def vocabulary(counts: DataFrame, share: float) -> Vocabulary:
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     rows = counts.where((F.col("c") >= total * share) & (F.lit(total) > 0)).select("h", "c").collect()  # 1 / share at most
-    frequent = {r["h"]: r["c"] for r in rows}
-    top = sorted(frequent, key=lambda h: (-frequent[h], h))[:SINGLE_CLASSES]
-    single = {h: i for i, h in enumerate(top)}
+    pairs = np.array(sorted((r["h"], r["c"]) for r in rows), np.int64).reshape(-1, 2)
+    hashes, held = pairs[:, 0], pairs[:, 1]
+    first = np.lexsort((hashes, -held))[:SINGLE_CLASSES]
+    single = np.full(len(hashes), -1)
+    single[first] = np.arange(len(first))
+    top = hashes[first].tolist()
     rest = counts.where(~F.col("h").isin(top)) if top else counts
     sums = np.ones(SINGLE_CLASSES + SUFFIX_CLASSES)
-    for h, i in single.items():
-        sums[i] += frequent[h] + 1
+    sums[: len(first)] += held[first] + 1
     for r in rest.groupBy("suffix").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():  # SUFFIX_CLASSES rows
         sums[SINGLE_CLASSES + r["suffix"]] += r["c"] + r["n"]
-    return Vocabulary(total, distinct, frequent, single, np.log10(sums))
+    return Vocabulary(total, distinct, hashes, held, single, np.log10(sums))
 
 
 def class_sequences(df: DataFrame, id_col: str, text_col: str, held_col: str, sent) -> DataFrame:
@@ -110,7 +113,7 @@ def class_sequences(df: DataFrame, id_col: str, text_col: str, held_col: str, se
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v: Vocabulary = sent.value
+        known, held, single = sent.value
         row = TaskContext.get().partitionId() << 40
         words = Numbering()
         cls, log_c, hashes = np.zeros(0, np.uint16), np.zeros(0), np.zeros(0, np.int64)
@@ -119,8 +122,12 @@ def class_sequences(df: DataFrame, id_col: str, text_col: str, held_col: str, se
             new = list(words)[len(cls) :] if len(words) > len(cls) else []
             h = np.fromiter(map(word_hash, new), np.int64, len(new))
             hashes = np.concatenate([hashes, h])
-            cls = np.concatenate([cls, np.array([v.single[x] if x in v.single else SINGLE_CLASSES + suffix_class(w) for w, x in zip(new, h.tolist(), strict=True)], np.uint16)])
-            log_c = np.concatenate([log_c, np.log10([v.frequent.get(x, -1) + 1.0 if x in v.frequent else np.nan for x in h.tolist()])]) if new else log_c
+            if new:
+                at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+                there = known[at] == h if len(known) else np.zeros(len(h), bool)
+                own = np.where(there, single[at], -1) if len(known) else np.full(len(h), -1)
+                cls = np.concatenate([cls, np.where(own >= 0, own, SINGLE_CLASSES + np.fromiter(map(suffix_class, new), np.int64, len(new))).astype(np.uint16)])
+                log_c = np.concatenate([log_c, np.where(there, np.log10(held[at] + 1.0), np.nan) if len(known) else np.full(len(h), np.nan)])
             cols: list[list] = [[] for _ in range(5)]
             for k in ids:
                 mine = log_c[k]
@@ -377,15 +384,14 @@ def language_model_scores(df: DataFrame, id_col: str, text_col: str, held_col: s
     to each count. Null texts have the end as their only token; with no training rows all
     words are unseen. Repeated rows are scored each.
     """
-    spark = df.sparkSession
+    spark = small_batches(df).sparkSession
     counts = saved(word_counts(df.where(~F.col(held_col)), text_col), "lm-counts")
     v = vocabulary(counts, share)
-    sent = spark.sparkContext.broadcast(v)
+    sent = spark.sparkContext.broadcast((v.hashes, v.counts, v.single))  # plain arrays: executors may lack this package
     rows = saved(class_sequences(df, id_col, text_col, held_col, sent), "lm-rows")
-    model = trained(rows.where("not held_out"), v.classes, states, rounds)
+    model, sums = trained(rows.where("not held_out"), v.classes, states, rounds), v.sums
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = sent.value.sums
         for batch in slices(batches, "classes", 1 << 20):
             seqs = [np.frombuffer(d, np.uint16) for d in batch.column("classes").to_pylist()]
             forward = log10_forward(seqs, model)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ramify.llm.arrow import as_bytes, slices
+from ramify.llm.arrow import as_bytes, slices, small_batches
 from ramify.scratch import saved
 
 _CLASSES = 8
@@ -250,7 +250,7 @@ def quality_scores(df: DataFrame, id_col: str, text_col: str, meta_cols: list[st
     several labels of an id the smallest holds. Without labels of both kinds all scores are 0.5.
     Rows with null ids are unlabelled; so are labelled rows beyond ``max_labelled``.
     """
-    spark = df.sparkSession
+    spark = small_batches(df).sparkSession
     marks = labels.where(F.col(label_col).isNotNull() & F.col(label_id).isNotNull()).groupBy(F.col(label_id).alias("_l")).agg(F.min(label_col).cast("int").alias("_y"))
     cols = [F.col(text_col).alias("text"), *[F.col(c).alias(f"m{i}") for i, c in enumerate(meta_cols)]]
     rows = df.select(F.col(id_col).alias("id"), *cols)
@@ -267,8 +267,8 @@ def quality_scores(df: DataFrame, id_col: str, text_col: str, meta_cols: list[st
             meta = meta_features([batch.column(c).to_pylist() for c in names] or [[None] * batch.num_rows]).astype(np.float16)
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([t.tobytes() for t in text], type=pa.binary()), pa.array([np.packbits(m > 0).tobytes() for m in meta], type=pa.binary())], names=["y", "t", "m"])
 
-    # Rows that repeat an id count once, so the sample stays as small as the ids chosen.
-    sample = rows.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).mapInArrow(features, "y int, t binary, m binary").orderBy("y", "t", "m").collect()
+    # Rows that repeat an id count once, by the least hash, so the sample stays as small as the ids chosen.
+    sample = rows.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min_by(F.struct("text", *names), F.struct(F.xxhash64("text", *names), F.hash("text", *names))).alias("row")).select("y", "row.*").mapInArrow(features, "y int, t binary, m binary").orderBy("y", "t", "m").collect()
     y = np.array([r["y"] for r in sample], np.int64)
     models = None
     if (y == 0).sum() > 1 and (y == 1).sum() > 1:
@@ -278,15 +278,14 @@ def quality_scores(df: DataFrame, id_col: str, text_col: str, meta_cols: list[st
         others = rows.join(F.broadcast(chosen.select("id")), "id", "left_anti").withColumn("y", F.lit(-1))
         pool = saved(others.mapInArrow(features, "y int, t binary, m binary").select("t", "m"), "quality-features")
         models = co_trained(text[shuffled], meta[shuffled], y[shuffled], pool, rounds, grow)
-    sent = spark.sparkContext.broadcast(models)
     kind = df.schema[id_col].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20, 512):
             n = batch.num_rows
             a = b = c = np.full(n, 0.5)
-            if sent.value:
-                text_model, meta_model, prior = sent.value
+            if models:
+                text_model, meta_model, prior = models
                 x = text_features(as_bytes(batch.column("text"))).astype(np.float16).astype(np.float32)
                 m = meta_features([batch.column(k).to_pylist() for k in names] or [[None] * n])
                 a, b = text_model.chance(x), meta_model.chance(m)
