@@ -1,7 +1,8 @@
 """Intermediate tables in the folder that all executors share.
 
-``spark.checkpoint.dir`` names that folder on a cluster. Only where it is unset (tests, a
-laptop) a temporary folder of this machine is used instead.
+``spark.checkpoint.dir`` names that folder on a cluster. Only where it is unset and the master is
+local (tests, a laptop) a temporary folder of this machine is used instead; on a cluster that
+would lose data, so there it is an error.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session; also the checkpoint folder of its context."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="ramify-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
