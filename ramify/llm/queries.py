@@ -33,7 +33,9 @@ def op1_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     texts = without_repeats(docs, "text", 400).select("k1", "k2", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-    return text_keys(docs, "doc_id", "text").join(texts, ["k1", "k2"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return text_keys(docs, "doc_id", "text").join(texts, ["k1", "k2"]).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), (F.col("n_removed") > 0).alias("repeated")
+    )
 
 
 def _contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

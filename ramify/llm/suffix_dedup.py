@@ -8,10 +8,12 @@ scanned with a stack into a tree of intervals. The members of an interval agree
 how far they agree to the left is tested on the same way, and an interval counts as a maximal
 repeat when what precedes its members differs. Each maximal repeat comes with all members.
 
-Buckets beyond ``bucket_rows`` suffixes are not collected. There, blocks of neighbouring
-strings are decided by counting two hashes of each block, aggregated before the shuffle: its
-whole extent (repeated: all its strings are) and the part all its strings share (not repeated:
-none is); only where neither decides are the strings counted one by one.
+Buckets beyond ``bucket_rows`` suffixes are cut in parts. Strings that start within BLOCK bytes
+of each other share all but BLOCK - 1 bytes; suffixes whose shared bytes agree (by a 128-bit hash)
+make a part, and what may differ is the BLOCK - 1 bytes on either side. Suffixes that agree there
+too are one class, counted before the shuffle, and the classes of a part are what its suffix array
+and its tree of intervals are made of. A part of more than ``part_classes`` classes is cut down to
+its single strings, each an interval of its own. Classes then pass their repeats on to all members.
 """
 
 from __future__ import annotations
@@ -64,11 +66,13 @@ def window_min(values: np.ndarray, w: int) -> np.ndarray:
 
 def anchors(texts: list[bytes], size: int, gram: int = GRAM, piece: int = 1 << 22) -> tuple[np.ndarray, ...]:
     """(text number, anchor position, hash, least and greatest offset of the strings it stands for)."""
-    if max(map(len, texts), default=0) > piece:  # pieces overlap by size - 1, so no string is lost or met twice
-        cuts = [(i, a) for i, t in enumerate(texts) for a in range(0, max(1, len(t) - size + 1), piece - size + 1)]
-        part, p, *rest = anchors([texts[i][a : a + piece] for i, a in cuts], size, gram, piece)
-        which, begin = (np.array([c[k] for c in cuts], np.int64) for k in (0, 1))
-        return which[part], p + begin[part], *rest
+    if max(map(len, texts), default=0) > piece:  # pieces, one at a time, overlap by size - 1, so no string is lost or met twice
+        found = []
+        for i, t in enumerate(texts):
+            for a in range(0, max(1, len(t) - size + 1), piece - size + 1):
+                part, p, *rest = anchors([t[a : a + piece]], size, gram, piece)
+                found.append((part + i, p + a, *rest))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
     long = [i for i, t in enumerate(texts) if len(t) >= size]
     none = np.empty(0, np.int64)
     if not long:
@@ -76,9 +80,7 @@ def anchors(texts: list[bytes], size: int, gram: int = GRAM, piece: int = 1 << 2
     lengths = np.array([len(texts[i]) for i in long], np.int64)
     begin = np.cumsum(lengths) - lengths
     h = rolling_hash(np.frombuffer(b"".join(texts[i] for i in long), np.uint8), gram)
-    bits = np.uint64(26)  # enough for the places in a batch; the hash keeps the rest
-    if len(h) >> 26:
-        raise ValueError("a batch of texts is limited to 64 MB")
+    bits = np.uint64(max(1, len(h)).bit_length())  # enough for the places in a batch; the hash keeps the rest
     place = np.uint64(1) << bits
     least = window_min(h >> bits << bits | np.arange(len(h), dtype=np.uint64), size - gram + 1)
     counts = lengths - size + 1
@@ -123,7 +125,7 @@ def maximal_repeats(before: list[bytes], after: list[bytes], size: int) -> Itera
     lcp = [0] + [common(after[order[i - 1]], after[order[i]]) for i in range(1, n)]
     back = [x[::-1] for x in before]
     for right, lo, hi in prefix_intervals(lcp, n):
-        if right == 0 or right + max(len(before[m]) for m in order[lo:hi]) < size:
+        if right + max(len(before[m]) for m in order[lo:hi]) < size:
             continue
         inner = sorted(order[lo:hi], key=back.__getitem__)
         left_lcp = [0] + [common(back[inner[i - 1]], back[inner[i]]) for i in range(1, len(inner))]
@@ -133,8 +135,8 @@ def maximal_repeats(before: list[bytes], after: list[bytes], size: int) -> Itera
                 yield left, right, members
 
 
-def repeats_of(before: list[bytes], after: list[bytes], size: int) -> list[tuple[int, int, list[int]]]:
-    """Maximal repeats, each member listed only where no other repeat covers it further."""
+def repeats_of(before: list[bytes], after: list[bytes], size: int, every: bool = True) -> list[tuple[int, int, list[int]]]:
+    """Maximal repeats that cover a member further than any other does, with all their members or, unless ``every``, those alone."""
     found = sorted(maximal_repeats(before, after, size), key=lambda r: -(r[0] + r[1]))
     seen: list[list[tuple[int, int]]] = [[] for _ in after]
     out = []
@@ -143,7 +145,7 @@ def repeats_of(before: list[bytes], after: list[bytes], size: int) -> list[tuple
         for m in mine:
             seen[m].append((left, right))
         if mine:
-            out.append((left, right, mine))
+            out.append((left, right, members if every else mine))
     return out
 
 
@@ -180,7 +182,7 @@ def _context_rows(size: int):
     return run
 
 
-def _bucket_repeats(size: int):
+def _bucket_repeats(size: int, every: bool):
     """Rows sorted by h: each run of equal h is a bucket."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -199,7 +201,7 @@ def _bucket_repeats(size: int):
 
         def close(bucket: list[tuple]) -> None:
             if len(bucket) > 1:
-                for n, (left, right, members) in enumerate(repeats_of([b[4] for b in bucket], [b[5] for b in bucket], size)):
+                for n, (left, right, members) in enumerate(repeats_of([b[4] for b in bucket], [b[5] for b in bucket], size, every)):
                     for m in members:
                         h, k1, k2, p = bucket[m][:4]
                         out.append((h ^ n, k1, k2, p - left, p + right))
@@ -218,83 +220,123 @@ def _bucket_repeats(size: int):
     return run
 
 
-def _block_rows(size: int, single: bool):
-    """Per block of a hot context: hashes of its whole and of its common part; or, for blocks
-    listed in ``blocks``, the hash of each string."""
+_BLOCKS = "x1 long, x2 long, l binary, r binary, k1 long, k2 long, at array<int>"
+_PART = ["x1", "x2"]
+_CLASS = [*_PART, "l", "r"]
+
+
+def _block_rows(size: int):
+    """Per block of a hot context: a hash of the bytes that all its strings share, the bytes on
+    either side that only some of them have, and the places of the shared bytes in the text."""
+    core = size - BLOCK + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "after", 1 << 18):
-            out: list[tuple] = []
-            names = [c for c in ("k1", "k2", "p", "lo", "hi", "before", "after", "blocks") if c in batch.schema.names]
-            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                k1, k2, p, lo, hi, before, after = row[:7]
+            places: dict[tuple, list[int]] = {}  # of a class in a text: a line that a text repeats makes one row
+            cols = (batch.column(c).to_pylist() for c in ("k1", "k2", "p", "lo", "hi", "before", "after"))
+            for k1, k2, p, lo, hi, before, after in zip(*cols, strict=True):
                 text = before + after  # the byte at offset o before the anchor stands at hi - o
-                for j in row[7] if single else range(lo // BLOCK, hi // BLOCK + 1):
-                    o1, o2 = max(lo, j * BLOCK), min(hi, j * BLOCK + BLOCK - 1)
-                    if single:
-                        for o in range(o1, o2 + 1):
-                            out.append((k1, k2, p, lo, j, p - o, p - o + size, xxhash.xxh64_intdigest(text[hi - o : hi - o + size], 3)))
-                    else:
-                        core = text[max(0, hi - j * BLOCK) : hi - (j * BLOCK + BLOCK - 1) + size]
-                        out.append((k1, k2, p, lo, j, p - o2, p - o1 + size, xxhash.xxh64_intdigest(b"%d/" % j + text[hi - o2 : hi - o1 + size], 1)))
-                        out.append((k1, k2, p, lo, j, p - o2, p - o1 + size, xxhash.xxh64_intdigest(b"%d/" % j + core, 2)))
-            cols = list(zip(*out, strict=True)) or [[]] * 8
-            kinds = [pa.int64()] * 2 + [pa.int32()] * 5 + [pa.uint64()]
-            arrays = [pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)]
-            arrays[7] = pa.Array.from_buffers(pa.int64(), len(arrays[7]), arrays[7].buffers())
-            kind = pa.array(np.arange(len(out)) % 2 if not single else np.zeros(len(out), int), type=pa.int32())
-            yield pa.RecordBatch.from_arrays([*arrays, kind], names=["k1", "k2", "p", "lo", "j", "start", "end", "x", "kind"])
+                for j in range(lo // BLOCK, hi // BLOCK + 1):
+                    o1, o2, o = max(lo, j * BLOCK), min(hi, j * BLOCK + BLOCK - 1), j * BLOCK
+                    begin = hi - o
+                    x = xxhash.xxh3_128_digest(b"%d/" % j + text[begin : begin + core])
+                    places.setdefault((x, text[hi - o2 : begin], text[begin + core : hi - o1 + size], k1, k2), []).append(p - o)
+            x, left, right, k1, k2 = map(list, zip(*places, strict=True)) if places else [[]] * 5
+            halves = np.frombuffer(b"".join(x), np.int64).reshape(-1, 2)
+            sides = [pa.array(halves[:, 0]), pa.array(halves[:, 1]), binary(left), binary(right)]
+            arrays = [*sides, pa.array(k1, type=pa.int64()), pa.array(k2, type=pa.int64()), pa.array(list(places.values()), type=pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["x1", "x2", "l", "r", "k1", "k2", "at"])
 
     return run
 
 
-_BLOCK_SCHEMA = "k1 long, k2 long, p int, lo int, j int, start int, end int, x long, kind int"
+def _part_repeats(every: bool):
+    """Classes sorted by part: each run of equal x1 and x2 is a suffix array of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+
+        def flushed() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) or [[]] * 7
+            kinds = [pa.int64()] * 2 + [pa.binary()] * 2 + [pa.int64()] + [pa.int32()] * 2
+            batch = pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)], names=["x1", "x2", "l", "r", "repeat", "a", "b"])
+            out.clear()
+            return batch
+
+        def close(part: list[tuple]) -> None:
+            x1, x2 = part[0][:2]
+            left, right = [c[2] for c in part], [c[3] for c in part]
+            for n, (a, b, members) in enumerate(repeats_of(left, right, BLOCK - 1, every)):
+                out.extend((x1, x2, left[m], right[m], x2 ^ n, a, b) for m in members)
+            for n, (_, _, l, r, many) in enumerate(part):
+                if many > 1:
+                    out.append((x1, x2, l, r, x1 ^ n, len(l), len(r)))
+
+        part: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in (*_CLASS, "m")), strict=True):
+                if part and part[0][:2] != row[:2]:
+                    close(part)
+                    part = []
+                    if len(out) > 20_000:
+                        yield flushed()
+                part.append(row)
+        if part:
+            close(part)
+        yield flushed()
+
+    return run
 
 
-def _repeated(rows: DataFrame) -> DataFrame:
-    """``rows`` whose hash x occurs more than once.
+def hot_repeats(contexts: DataFrame, size: int, part_classes: int = 4096, every: bool = True) -> DataFrame:
+    """Repeats of contexts in hot buckets, by parts and classes.
 
-    The counts are a table of their own: a join of two plain shuffles is one whose hot keys
-    Spark can split, while counts joined where they were made would hold each key in one task.
+    Everything is counted before it is shuffled; counts and spans are tables of their own, so that
+    joins with the blocks are plain ones, whose hot keys Spark can split.
     """
-    return rows.join(saved(rows.groupBy("x").agg(F.count("*").alias("m")).where("m > 1"), "repeat-counts"), "x")
-
-
-def hot_repeats(contexts: DataFrame, size: int) -> DataFrame:
-    """Repeated strings of contexts in hot buckets, decided by counts."""
-    blocks = saved(contexts.mapInArrow(_block_rows(size, False), _BLOCK_SCHEMA), "repeat-blocks")
-    told = saved(_repeated(blocks), "repeat-told")
-    key = ["k1", "k2", "p", "lo", "j"]
-    whole, core = told.where("kind = 0"), told.where("kind = 1")
-    doubtful = core.join(whole.select(key), key, "left_anti")
-    # A string in doubt may also stand in blocks that are repeated as a whole; one of each such
-    # block with a common part in doubt is enough.
-    one = whole.groupBy("x").agg(F.min(F.struct(key)).alias("one")).select("one.*")
-    beside = core.join(one, key).join(doubtful.select("x").distinct(), "x", "left_semi")
-    ask = doubtful.select(key).union(beside.select(key)).groupBy(key[:4]).agg(F.sort_array(F.collect_set("j")).alias("blocks"))
-    strings = saved(contexts.join(ask, key[:4]).mapInArrow(_block_rows(size, True), _BLOCK_SCHEMA), "repeat-strings")
-    found = whole.select("k1", "k2", "start", "end").union(_repeated(strings).select("k1", "k2", "start", "end"))
-    return found.select(F.lit(None).cast("long").alias("repeat"), "k1", "k2", "start", "end")
-
-
-def repeated_spans(df: DataFrame, text_col: str, size: int = 400, bucket_rows: int = 128) -> DataFrame:
+    blocks = saved(contexts.mapInArrow(_block_rows(size), _BLOCKS), "repeat-blocks")
+    classes = saved(blocks.groupBy(*_CLASS).agg(F.sum(F.size("at")).alias("m")), "repeat-classes")
+    parts = saved(classes.groupBy(*_PART).agg(F.sum("m").alias("rows"), F.count("*").alias("classes")).where("rows > 1"), "repeat-parts")
+    listed = classes.join(parts, _PART)
+    own = F.xxhash64(*_CLASS)
+    whole = [own.alias("repeat"), F.length("l").alias("a"), F.length("r").alias("b")]
+    one = listed.where("classes = 1").select(*_CLASS, *whole)
+    tree = listed.where(F.col("classes").between(2, part_classes)).select(*_CLASS, "m")
+    some = tree.repartition(*_PART).sortWithinPartitions(*_CLASS).mapInArrow(_part_repeats(every), "x1 long, x2 long, l binary, r binary, repeat long, a int, b int")
+    # A part of very many classes: its strings are a bytes on the left and BLOCK - 1 - a on the right.
+    large = listed.where(F.col("classes") > part_classes)
+    a = F.explode(F.sequence(F.lit(BLOCK - 1) - F.length("r"), F.length("l"))).alias("a")
+    strings = large.select(*_CLASS, "m", a).withColumn("b", F.lit(BLOCK - 1) - F.col("a"))
+    strings = strings.withColumn("s", F.concat(F.substring("l", F.length("l") - F.col("a") + 1, F.col("a")), F.substring("r", F.lit(1), F.col("b"))))
+    strings = saved(strings, "repeat-strings")
+    often = saved(strings.groupBy(*_PART, "a", "s").agg(F.sum("m").alias("n")).where("n > 1").drop("n"), "repeat-often")
+    single = strings.join(often, [*_PART, "a", "s"]).select(*_CLASS, F.xxhash64(*_PART, "a", "s").alias("repeat"), "a", "b")
+    spans = saved(one.union(some).union(single).select(*_CLASS, "repeat", "a", "b"), "repeat-spans")
+    core = size - BLOCK + 1
+    found = blocks.join(spans, _CLASS).select("repeat", "k1", "k2", "a", "b", F.explode("at").alias("at"))
+    return found.select("repeat", "k1", "k2", (F.col("at") - F.col("a")).alias("start"), (F.col("at") + core + F.col("b")).alias("end"))
+
+
+def repeated_spans(df: DataFrame, text_col: str, size: int = 400, bucket_rows: int = 128, part_classes: int = 4096, every: bool = True) -> DataFrame:
     """Maximal repeats of ``size`` bytes or more among the distinct texts of ``df``.
 
-    Columns repeat (occurrences of one maximal repeat share it; null where a hot bucket was
-    decided by counts), k1 and k2 (the text's key, see ``text_keys``), start, end (bytes).
+    Columns repeat (occurrences of one repeat share it), k1 and k2 (the text's key, see
+    ``text_keys``), start, end (bytes). A repeat reaches as far as its bucket or part does: the
+    spans of a longer one overlap or touch. Neither limit changes which bytes are covered, nor
+    does ``every``: without it a repeat lists only occurrences that it covers further than others.
     """
     if size < 2 * GRAM:
         raise ValueError(f"size must be {2 * GRAM} at least")
     keyed = _keyed(small_batches(df), text_col).select("k1", "k2", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = keyed.where(F.octet_length("text") >= size).mapInArrow(_anchor_rows(size), _ANCHORS)
     found = saved(found.dropDuplicates(["k1", "k2", "p", "lo"]), "repeat-anchors")
-    shared = saved(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "repeat-shared")  # as in _repeated()
+    shared = saved(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "repeat-shared")  # a table of its own, so that Spark can split hot keys of the join
     wanted = found.join(shared, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("p", "h", "lo", "hi", "n")).alias("found"))
     texts = keyed.where(F.octet_length("text") >= size).dropDuplicates(["k1", "k2"])
     contexts = saved(texts.join(wanted, ["k1", "k2"]).mapInArrow(_context_rows(size), _CONTEXT), "repeat-contexts")
     small = contexts.where(F.col("n") <= bucket_rows).select("h", "k1", "k2", "p", "before", "after")
-    near = small.repartition("h").sortWithinPartitions("h", "k1", "k2", "p").mapInArrow(_bucket_repeats(size), _REPEATS)
-    return near.union(hot_repeats(contexts.where(F.col("n") > bucket_rows), size))
+    near = small.repartition("h").sortWithinPartitions("h", "k1", "k2", "p").mapInArrow(_bucket_repeats(size, every), _REPEATS)
+    return near.union(hot_repeats(contexts.where(F.col("n") > bucket_rows), size, part_classes, every))
 
 
 def _cut():
@@ -318,14 +360,14 @@ def _cut():
     return run
 
 
-def without_repeats(df: DataFrame, text_col: str, size: int = 400, bucket_rows: int = 128) -> DataFrame:
+def without_repeats(df: DataFrame, text_col: str, size: int = 400, bucket_rows: int = 128, part_classes: int = 4096) -> DataFrame:
     """Per distinct text: k1, k2, n_removed, n_spans, kept (the bytes that stay, as binary).
 
     Every byte covered by a ``size``-byte string that starts anywhere else too (in this text or
     another row's) is removed; matches never cross rows. A text that several rows have is a
     repeat as a whole. Null counts as empty; an empty table gives none.
     """
-    spans = repeated_spans(df, text_col, size, bucket_rows).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    spans = repeated_spans(df, text_col, size, bucket_rows, part_classes, every=False).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     keyed = _keyed(df, text_col).select("k1", "k2", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     joined = texts.join(spans, ["k1", "k2"], "left").withColumn("size", F.lit(size))

@@ -80,6 +80,41 @@ def test_suffix_dedup_hot_buckets(spark, small, bucket_rows):
     assert [tuple(r) for r in out.iloc[:, 1:].itertuples(index=False)] == brute.suffix_dedup(rows, 400)
 
 
+@pytest.mark.parametrize("part_classes", [1, 2, 4096])
+def test_suffix_dedup_parts(spark, small, part_classes):
+    from pyspark.sql import functions as F
+
+    from ramify.llm.suffix_dedup import repeated_spans, text_keys, without_repeats
+
+    d, ids, rows = small
+    rng = random.Random(8)
+    core = "".join(rng.choice("abcd ") for _ in range(700))
+    more = [core[: rng.randrange(380, 700)] + "".join(rng.choice("xyz") for _ in range(rng.randrange(3))) + core[rng.randrange(0, 300) :] for _ in range(40)]
+    more += [core[rng.randrange(0, 40) : rng.randrange(405, 460)] for _ in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*rows, *more])], "doc_id long, text string")
+    out = text_keys(docs, "doc_id", "text").join(without_repeats(docs, "text", 400, 1, part_classes), ["k1", "k2"])
+    out = out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("s")).toPandas().sort_values("doc_id")
+    assert [tuple(r) for r in out.iloc[:, 1:].itertuples(index=False)] == brute.suffix_dedup([*rows, *more], 400)
+    found = repeated_spans(docs, "text", 400, 1, part_classes).toPandas()
+    assert found.repeat.notna().all() and (found.end - found.start >= 400).all()
+    assert (found.groupby("repeat").size() > 1).all()  # every repeat comes with all its occurrences
+
+
+def test_anchors_of_a_very_long_text():
+    import numpy as np
+
+    from ramify.llm.suffix_dedup import anchors
+
+    rng = np.random.default_rng(1)
+    data = rng.integers(97, 123, 70 << 20, dtype=np.uint8)
+    data[60 << 20 : (60 << 20) + 500] = data[1000:1500]
+    text = data.tobytes()
+    part, p, h, lo, hi = anchors([b"x" * 10, text], 400)
+    assert (part == 1).all() and int((hi - lo + 1).sum()) == len(text) - 399
+    first, second = set(p[(p >= 1000) & (p < 1500)]), set(p[(p >= 60 << 20) & (p < (60 << 20) + 500)] - (60 << 20) + 1000)
+    assert first & second  # the copy is found at the same offsets from its anchors
+
+
 def test_decontamination(spark, small):
     d, ids, rows = small
     items = [(1, texts()[1]), (10, texts()[1]), (2, None), (3, "Die und der"), (4, "..")]
