@@ -122,7 +122,7 @@ def _encode(ranks, pattern: str):
         for batch in batches:
             out = []
             for b, n, words in zip(*(batch.column(c).to_pylist() for c in ("bucket", "n", "words")), strict=True):
-                if b != bucket:
+                if b != bucket or len(known) > 400_000:  # a bound on memory; words met again later are encoded again
                     bucket, known = b, {}
                 data, at, pieces = unpacked(words), 4 * n, []
                 for size in from_planes(data[: 4 * n]).tolist():
@@ -176,7 +176,7 @@ def _assemble(ranks, carried: pa.Schema):
     return run
 
 
-def encoded(df: DataFrame, text_col: str, keep: list[str], ranks: dict[bytes, int], pattern: str, chunk_chars: int = 16_000_000, buckets: int | None = None) -> DataFrame:
+def encoded(df: DataFrame, text_col: str, keep: list[str], ranks: dict[bytes, int], pattern: str, chunk_chars: int = 8_000_000, buckets: int | None = None) -> DataFrame:
     """``keep`` plus n_tokens, token_ids (little-endian unsigned 32-bit) and decoded (bytes).
 
     Null texts count as empty and give no tokens. ``chunk_chars`` bounds what one task puts
