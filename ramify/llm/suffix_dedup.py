@@ -288,7 +288,7 @@ def _part_repeats(every: bool):
     return run
 
 
-def hot_repeats(contexts: DataFrame, size: int, part_classes: int = 4096, every: bool = True) -> DataFrame:
+def hot_repeats(contexts: DataFrame, size: int, part_classes: int = 256, every: bool = True) -> DataFrame:
     """Repeats of contexts in hot buckets, by parts and classes.
 
     Everything is counted before it is shuffled; counts and spans are tables of their own, so that
@@ -317,7 +317,7 @@ def hot_repeats(contexts: DataFrame, size: int, part_classes: int = 4096, every:
     return found.select("repeat", "k1", "k2", (F.col("at") - F.col("a")).alias("start"), (F.col("at") + core + F.col("b")).alias("end"))
 
 
-def repeated_spans(df: DataFrame, text_col: str, size: int = 400, bucket_rows: int = 128, part_classes: int = 4096, every: bool = True) -> DataFrame:
+def repeated_spans(df: DataFrame, text_col: str, size: int = 400, bucket_rows: int = 128, part_classes: int = 256, every: bool = True) -> DataFrame:
     """Maximal repeats of ``size`` bytes or more among the distinct texts of ``df``.
 
     Columns repeat (occurrences of one repeat share it), k1 and k2 (the text's key, see
@@ -360,7 +360,7 @@ def _cut():
     return run
 
 
-def without_repeats(df: DataFrame, text_col: str, size: int = 400, bucket_rows: int = 128, part_classes: int = 4096) -> DataFrame:
+def without_repeats(df: DataFrame, text_col: str, size: int = 400, bucket_rows: int = 128, part_classes: int = 256) -> DataFrame:
     """Per distinct text: k1, k2, n_removed, n_spans, kept (the bytes that stay, as binary).
 
     Every byte covered by a ``size``-byte string that starts anywhere else too (in this text or
