@@ -23,6 +23,7 @@ MIN_LENGTH = {"assign": 6, "access": 20, "hex": 24}
 LIVE = "live"
 #: Marks the ends of matches; where a text has it, another character outside all patterns stands in.
 _MARK, _STAND_IN = "\ue000", "\x01"
+_BLOCK = 256  # parts; an even number, so that each block begins between matches
 
 
 def _hint(kind: str, text: Column) -> Column:
@@ -36,14 +37,15 @@ def matches(text: Column, kind: str, order: int) -> Column:
     """Array of (start, order, end, value): leftmost non-overlapping matches that are long enough.
 
     Places are code points. The text is cut at marks around every match, so each second part is
-    a match and the lengths of the parts before give its place.
+    a match and the lengths of the parts before give its place. Lengths are added up in blocks of
+    parts, then over blocks, so that a text of very many matches takes time in proportion.
     """
     group = 2 if kind == "assign" else 0
     # A run of hex digits that is too short fails as a whole, so only long runs need marks.
     pattern = "[0-9a-f]{%d,}" % MIN_LENGTH["hex"] if kind == "hex" else KINDS[kind]
     marked = F.regexp_replace(F.translate(text, _MARK, _STAND_IN), F.lit(pattern), F.lit(f"{_MARK}$0{_MARK}"))
-    parts = F.split(marked, _MARK, -1)
     kind_of = "array<struct<start:int,kind:int,end:int,value:string>>"
+    none = F.array().cast(kind_of)
     start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), F.lit(None).cast(kind_of).alias("found"))
 
     def step(acc: Column, part: Column) -> Column:
@@ -51,11 +53,24 @@ def matches(text: Column, kind: str, order: int) -> Column:
         end = acc["at"] + F.length(part)
         one = F.array(F.struct(acc["at"].alias("start"), F.lit(order).alias("kind"), end.alias("end"), value.alias("value"))).cast(kind_of)
         good = acc["hit"] & (F.length(value) >= MIN_LENGTH[kind])
-        found = F.when(good, F.concat(F.coalesce(acc["found"], F.array().cast(kind_of)), one)).otherwise(acc["found"])
+        found = F.when(good, F.concat(F.coalesce(acc["found"], none), one)).otherwise(acc["found"])
         return F.struct(end.alias("at"), (~acc["hit"]).alias("hit"), found.alias("found"))
 
-    none = F.array().cast(kind_of)
-    return F.when(_hint(kind, text), F.coalesce(F.aggregate(parts, start, step)["found"], none)).otherwise(none)
+    def blocks(parts: Column) -> Column:
+        each = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / _BLOCK).cast("int"))
+        return F.transform(each, lambda i: F.aggregate(F.slice(parts, i * _BLOCK + 1, F.lit(_BLOCK)), start, step))
+
+    def joined(found: Column) -> Column:
+        begin = F.aggregate(found, F.array(F.lit(0)).cast("array<int>"), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + b["at"]).cast("array<int>")))
+        moved = lambda at: lambda s: F.struct((s["start"] + at).alias("start"), s["kind"].alias("kind"), (s["end"] + at).alias("end"), s["value"].alias("value"))
+        return F.flatten(F.zip_with(found, F.slice(begin, F.lit(1), F.size(found)), lambda b, at: F.transform(F.coalesce(b["found"], none), moved(at))))
+
+    return F.when(_hint(kind, text), _named(_named(F.split(marked, _MARK, -1), blocks), joined).cast(kind_of)).otherwise(none)
+
+
+def _named(value: Column, of) -> Column:
+    """``of(value)`` with ``value`` computed once, however often ``of`` uses it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
 
 
 def span_text(spans: Column, names: list[str]) -> Column:
@@ -71,7 +86,7 @@ def looks_live(value: Column) -> Column:
     return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & varied
 
 
-def scanned(df: DataFrame, text_col: str, keep: list[str], repo_col: str, owner_col: str, max_owners: int = 2, max_repos: int = 2) -> DataFrame:
+def scanned(df: DataFrame, text_col: str, keep: list[str], repo_col: str, owner_col: str, max_owners: int = 2, max_repos: int = 4) -> DataFrame:
     """``keep`` plus base (array of start, kind, end, value), and live (the same, kind ``live``).
 
     A candidate is live when its value occurs in at most ``max_owners`` owners and ``max_repos``

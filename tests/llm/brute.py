@@ -91,6 +91,24 @@ def secrets(text):
     return Counter(x[2] for x in out), ",".join(f"{n}:{s}:{e}" for s, _, n, e in out)
 
 
+def secret_spans(texts, owners, repos, max_owners, max_repos):
+    """Base and live spans of each text; a value is live by distinct owners, distinct repositories and looks."""
+    kinds = ((re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), 2, 6), (re.compile("AKIA[A-Z0-9]+"), 0, 20), (re.compile("[0-9a-f]+"), 0, 24))
+    names = ("assign", "access", "hex", "live")
+    found = [[(m.start(), k, m.end(), m[g]) for k, (rx, g, least) in enumerate(kinds) for m in rx.finditer(t or "") if len(m[g]) >= least] for t in texts]
+    owned, stored = defaultdict(set), defaultdict(set)
+    for f, o, r in zip(found, owners, repos):
+        for *_, value in f:
+            owned[value].add(o)
+            stored[value].add(r)
+    live = lambda v: len(owned[v]) <= max_owners and len(stored[v]) <= max_repos and re.search("[0-9]", v) and re.search("[A-Za-z]", v) and len(set(v)) >= 8
+    out = []
+    for f in found:
+        spans = f + sorted({(e - len(v), 3, e, v) for _, _, e, v in f if live(v)})
+        out.append(",".join(f"{names[k]}:{s}:{e}" for s, k, e, _ in sorted(spans)))
+    return out
+
+
 def exact(ids, texts):
     groups = defaultdict(list)
     for d, t in zip(ids, texts):

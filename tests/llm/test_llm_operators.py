@@ -195,6 +195,37 @@ def test_secrets(spark, small):
         assert set(base.split(",")) - {""} <= set(spans.split(","))
 
 
+def test_secrets_live_spans(spark, small):
+    d, ids, rows = small
+    docs = spark.read.parquet(f"{d}/documents.parquet").toPandas().sort_values("doc_id")
+    owners = list(docs.source.where(docs.source.notna(), None))
+    repos = [f"{s or ''}/{x or ''}" for s, x in zip(owners, docs.lang.where(docs.lang.notna(), None))]
+    assert [x[0] for x in got(spark, "op6_secret_ownership", d, ["spans"])] == brute.secret_spans(rows, owners, repos, 2, 4)
+
+
+def test_secrets_owned_by_many_are_not_live(spark):
+    from ramify.llm.secrets import scanned
+
+    texts = {"token: abc123def456": "abcdef", "token: xyz987uvw654": "ab", "token: aaaaaa111111": "a", "secret=Own3r4cr0ss5": "a"}
+    rows = [(t, o, f"{o}{n}") for t, who in texts.items() for o in who for n in range(1 if t[0] == "t" else 6)]
+    out = scanned(spark.createDataFrame(rows, "text string, owner string, repo string"), "text", ["text"], "repo", "owner").select("text", "live").distinct().collect()
+    assert {r["text"]: len(r["live"]) for r in out} == {"token: abc123def456": 0, "token: xyz987uvw654": 1, "token: aaaaaa111111": 0, "secret=Own3r4cr0ss5": 0}
+
+
+def test_secrets_of_a_text_with_very_many_matches(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from ramify.llm.secrets import matches
+
+    text = "\u00e9 token: abc123 " * 40_000
+    began = time.time()
+    found = spark.createDataFrame([(text,)], "text string").select(matches(F.col("text"), "assign", 0).alias("m")).first()["m"]
+    assert time.time() - began < 60
+    assert len(found) == 40_000 and [(m["start"], m["end"], m["value"]) for m in found] == [(16 * i + 2, 16 * i + 15, "abc123") for i in range(40_000)]
+
+
 def test_exact(spark, small):
     d, ids, rows = small
     assert got(spark, "op7_exact_dedup", d, ["keep_id", "group_size", "kept", "text_sha256"]) == brute.exact(ids, rows)
