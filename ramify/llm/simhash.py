@@ -1,12 +1,16 @@
 """SimHash near-duplicates with pivot distance tables.
 
-Every distinct fingerprint gets its Hamming distances to a fixed set of reference
-fingerprints. By the triangle inequality two fingerprints within ``k`` bits differ by ``k`` at
-most in every such coordinate, so a pair whose largest coordinate difference exceeds ``k`` is
-discarded; survivors are verified on all 64 bits. Pairs to test come from buckets: of five
-blocks of bits, at least two are equal when three bits differ, so the values of any two blocks
-make a key. A bucket beyond ``part_rows`` is tested in pairs of slices by separate tasks, and
-a task reports a spanning forest of its links instead of all linked pairs.
+A table, written once, holds the Hamming distances of every distinct fingerprint to a fixed set of
+reference fingerprints. By the triangle inequality two fingerprints within ``k`` bits differ by
+``k`` at most in every such coordinate. Rows that share a bucket are sorted by their distances: a
+sweep over the first coordinate yields only pairs that differ there by ``k`` or less, pairs whose
+largest difference in any other coordinate exceeds ``k`` are discarded, and survivors are verified
+on all 64 bits.
+
+Buckets only deal the work out: of five blocks of bits, at least two are equal when three bits
+differ, so the values of any two blocks make a key. A bucket beyond ``part_rows`` is dealt once more
+in the same way by its other bits, and what is still larger is tested in pairs of slices by separate
+tasks. A task reports a spanning forest of its links instead of all linked pairs.
 """
 
 from __future__ import annotations
@@ -57,18 +61,32 @@ def pivots(n: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(b"pivot", i) for i in range(n)], np.uint64)
 
 
-def pair_test(fps: np.ndarray, group: np.ndarray, k: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs within ``k`` bits inside runs of equal ``group`` (sorted)."""
-    coords = np.bitwise_count(fps[:, None] ^ table[None, :]).astype(np.int8)
+def pivot_table(fps: DataFrame, n: int) -> DataFrame:
+    """(fp, d): the distances of each fingerprint to ``n`` pivots, a byte each."""
+    table = pivots(n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = np.asarray(batch.column(0)).view(np.uint64)
+            d = np.bitwise_count(fp[:, None] ^ table[None, :]).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeBinaryArray.from_buffers(pa.binary(n), len(fp), [None, pa.py_buffer(d.tobytes())]).cast(pa.binary())], names=["fp", "d"])
+
+    return fps.select("fp").mapInArrow(run, "fp long, d binary")
+
+
+def pair_test(fps: np.ndarray, coords: np.ndarray, group: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs within ``k`` bits inside runs of equal ``group``; rows sorted by group and first coordinate."""
     found_a, found_b = [], []
     here = np.arange(len(fps))
     step = 1
     while len(here):
         here = here[here + step < len(fps)]
-        here = here[group[here] == group[here + step]]  # a run only gets shorter as the step grows
+        there = here + step
+        # A row's run only gets shorter, and the first coordinate only farther, as the step grows.
+        here = here[(group[here] == group[there]) & (coords[there, 0] - coords[here, 0] <= k)]
         a, b = here, here + step
-        for c in range(0, coords.shape[1], 4):
-            near = (np.abs(coords[a, c : c + 4] - coords[b, c : c + 4]) <= k).all(axis=1)
+        for c in range(1, coords.shape[1], 5):
+            near = (np.abs(coords[a, c : c + 5] - coords[b, c : c + 5]) <= k).all(axis=1)
             a, b = a[near], b[near]
         near = np.bitwise_count(fps[a] ^ fps[b]) <= k
         found_a.append(a[near])
@@ -91,57 +109,67 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
-def bucket_keys(fp: Column, blocks: int, same: int) -> Column:
-    """Array of longs: for each choice of ``same`` blocks, its number and their bits."""
-    edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
-    keys = []
-    for n, chosen in enumerate(combinations(range(blocks), same)):
-        mask = sum((1 << edges[i + 1]) - (1 << edges[i]) for i in chosen)
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        keys.append(F.xxhash64(F.lit(n), fp.bitwiseAND(F.lit(signed))))
-    return F.array(*keys)
+def masks(bits: int, blocks: int, same: int) -> list[int]:
+    """For each choice of ``same`` of ``blocks`` runs of the bits set in ``bits``, those that are chosen."""
+    places = [i for i in range(64) if bits >> i & 1]
+    edges = [round(i * len(places) / blocks) for i in range(blocks + 1)]
+    run = [sum(1 << p for p in places[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+    return [sum(run[i] for i in chosen) for chosen in combinations(range(blocks), same)]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def links(fps: DataFrame, k: int = 3, n_pivots: int = 16, part_rows: int = 512) -> DataFrame:
     """Links (a, b) that connect the same distinct fingerprints as all pairs within ``k`` bits."""
-    blocks = k + 2
-    keyed = fps.select("fp", F.explode(bucket_keys(F.col("fp"), blocks, 2)).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    inside = keyed.join(sizes, "key")
-    # A bucket of more than part_rows is cut into g slices; each pair of slices is a part of its own.
-    g = F.ceil(2 * F.col("n") / part_rows).cast("int")
-    cut = inside.select("key", "fp", F.when(F.col("n") > part_rows, g).otherwise(1).alias("g"))
-    cut = cut.withColumn("s", F.pmod(F.xxhash64("fp", F.lit(5)), F.col("g")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
-    parts = cut.select("key", "fp", "s", "g", other.alias("t")).where("g = 1 or s != t")
-    parts = parts.select("key", (F.least("s", "t") * 65536 + F.greatest("s", "t")).alias("part"), "fp")
-    table = pivots(n_pivots)
+    blocks, every = k + 2, (1 << 64) - 1
+    first = masks(every, blocks, 2)
+    second = [[_signed(m | x) for x in masks(every & ~m, blocks, 2)] for m in first]
+    table = saved(pivot_table(fps, n_pivots), "pivot-table")
+
+    def dealt(rows: DataFrame, keys: Column) -> tuple[DataFrame, DataFrame]:
+        """Rows of small buckets, and of large ones."""
+        keyed = rows.select("fp", "d", F.posexplode(keys).alias("c", "key"))
+        sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        inside = keyed.join(sizes, "key")
+        return inside.where(F.col("n") <= part_rows), inside.where(F.col("n") > part_rows)
+
+    mask = lambda m: F.col("fp").bitwiseAND(m)
+    small, large = dealt(table, F.array(*[F.xxhash64(F.lit(c), mask(F.lit(_signed(m)))) for c, m in enumerate(first)]))
+    deeper = F.get(F.array(*[F.array(*map(F.lit, x)) for x in second]), F.col("c"))
+    again, larger = dealt(large.select("fp", "d", "c", "key"), F.transform(deeper, lambda m: F.xxhash64(F.col("key"), m, mask(m))))
+    # What is larger still is cut into g slices; each pair of slices is a part of its own.
+    cut = larger.withColumn("g", F.ceil(2 * F.col("n") / part_rows)).withColumn("s", F.pmod(F.xxhash64("fp", F.lit(5)), F.col("g")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1))
+    cut = cut.select("key", "fp", "d", "s", other.alias("t")).where("s != t")
+    cut = cut.select("key", (F.shiftleft(F.least("s", "t"), 32) + F.greatest("s", "t")).alias("part"), "d", "fp")
+    whole = [x.select("key", F.lit(-1).cast("long").alias("part"), "d", "fp") for x in (small, again)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def tested(cols: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-            key, part, fp = cols
+        def tested(key: np.ndarray, part: np.ndarray, d: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
             group = np.cumsum(np.r_[0, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
-            a, b = pair_test(fp.view(np.uint64), group, k, table)
+            a, b = pair_test(fp.view(np.uint64), d, group, k)
             root = forest(len(fp), a, b)
             x = np.flatnonzero(root != np.arange(len(fp)))
             return pa.RecordBatch.from_arrays([pa.array(fp[root[x]]), pa.array(fp[x])], names=["a", "b"])
 
-        held: tuple[np.ndarray, ...] | None = None
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = tuple(np.asarray(c) for c in batch.columns)
-            held = new if held is None else tuple(np.concatenate(p) for p in zip(held, new, strict=True))
-            last = (held[0] == held[0][-1]) & (held[1] == held[1][-1])
-            cut_at = int(np.argmax(last))  # the last group may go on in the next batch
-            if cut_at:
-                yield tested(tuple(c[:cut_at] for c in held))
-                held = tuple(c[cut_at:] for c in held)
-        if held is not None:
-            yield tested(held)
-
-    spread = parts.repartition("key", "part").sortWithinPartitions("key", "part", "fp")
-    return spread.mapInArrow(run, "a long, b long")
+            if batch.num_rows:
+                d = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, n_pivots).astype(np.int8)
+                held.append((np.asarray(batch.column(0)), np.asarray(batch.column(1)), d, np.asarray(batch.column(3))))
+            if sum(len(h[0]) for h in held) >= 1 << 15:
+                cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+                cut_at = int(np.argmax((cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])))  # the last part may go on in the next batch
+                if cut_at:
+                    yield tested(*[c[:cut_at] for c in cols])
+                held = [tuple(c[cut_at:] for c in cols)]
+        if held:
+            yield tested(*[np.concatenate(c) for c in zip(*held, strict=True)])
+
+    parts = whole[0].union(whole[1]).union(cut)
+    return parts.repartition("key", "part").sortWithinPartitions("key", "part", "d").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, k: int = 3, shingle: int = 3) -> DataFrame:
