@@ -131,9 +131,8 @@ def links(fps: DataFrame, k: int = 3, n_pivots: int = 16, part_rows: int = 512)
     def dealt(rows: DataFrame, keys: Column) -> tuple[DataFrame, DataFrame]:
         """Rows of small buckets, and of large ones."""
         keyed = rows.select("fp", "d", F.posexplode(keys).alias("c", "key"))
-        sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        inside = keyed.join(sizes, "key")
-        return inside.where(F.col("n") <= part_rows), inside.where(F.col("n") > part_rows)
+        sizes = saved(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-sizes")
+        return keyed.join(sizes.where(F.col("n") <= part_rows), "key"), keyed.join(sizes.where(F.col("n") > part_rows), "key")
 
     mask = lambda m: F.col("fp").bitwiseAND(m)
     small, large = dealt(table, F.array(*[F.xxhash64(F.lit(c), mask(F.lit(_signed(m)))) for c, m in enumerate(first)]))
