@@ -22,6 +22,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source and tokens of the documents that every stage keeps, a row each.
+
+    Null and empty texts go in the first stage, as no language can be told of them. Rows that repeat
+    an id and a text are copies like others: one stays. Null ids are kept like others and lose to
+    any id within a group. An empty table gives an empty result; extra columns are carried up to the
+    last stage and never clash with the operators' own, except those that begin with an underscore.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{app_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"

@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ramify.llm.bpe import encoded, load_ranks
 from ramify.llm.decontam import benchmark_hits, n_hit
-from ramify.llm.exact_dedup import exact_groups
+from ramify.llm.exact_dedup import exact_groups, normalised
 from ramify.llm.hmm_lm import language_model_scores
 from ramify.llm.langid import held_out, learn_profiles, with_language
 from ramify.llm.quality import quality_scores
 from ramify.llm.secrets import KINDS, LIVE, scanned, span_text
 from ramify.llm.sharding import bounded_load_shards
-from ramify.llm.simhash import near_duplicates
+from ramify.llm.simhash import near_duplicates, with_fingerprints
 from ramify.llm.suffix_dedup import text_keys, without_repeats
+from ramify.scratch import saved
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,30 +99,62 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of which no language can be told (no text, no letters)."""
+    """Drops documents of which no language can be told: null and empty texts and those without a letter.
+
+    With no text of a known language there are no profiles, and all documents go. Rows are
+    judged each on its own, repeated ones alike.
+    """
     return with_language(docs, "text", _profiles(docs)).where("lang_pred != 'und'").select(*docs.columns)
 
 
 def stage_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = exact_groups(docs, "doc_id", "text").where("kept").select("doc_id")
-    return _those(docs, kept)
-
+    """One row of each group of equal texts stays (see ``exact_groups``), null texts counting as empty ones.
 
-def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one that names it."""
-    kept = near_duplicates(docs, "doc_id", "text").where("doc_id <=> component_id").select("doc_id")
-    return _those(docs, kept)
+    Of rows that repeat the id and text that stays, the one with the most code points, then the
+    greatest hash of all columns stays: one of rows that are the same throughout.
+    """
+    found = saved(exact_groups(docs, "doc_id", "text").select("doc_id", F.col("text_sha256").alias("_mark"), "kept"), "stage-exact")
+    best = found.where("kept").select("doc_id", "_mark").distinct()
+    mark = lambda rows: rows.withColumn("_mark", F.sha2(normalised(F.col("text")), 256))
+    return _one_each(docs, found, best, mark, F.coalesce(F.length("text"), F.lit(0)))
 
 
-def _those(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: the smallest id (null ids last), which names the group.
+
+    Texts without words share fingerprint zero and are a group. Of rows that repeat that id, the
+    one with the least fingerprint, then the greatest hash of all columns stays.
+    """
+    found = saved(near_duplicates(docs, "doc_id", "text").select("doc_id", F.col("fingerprint").alias("_mark"), "component"), "stage-near")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_mark")).alias("b")
+    best = found.groupBy("component").agg(first).select("b.doc_id", "b._mark")
+    return _one_each(docs, found, best, lambda rows: with_fingerprints(rows, "doc_id", "text", also=rows.columns), F.lit(0))
+
+
+def _one_each(docs: DataFrame, found: DataFrame, best: DataFrame, mark: Callable[[DataFrame], DataFrame], order: Column) -> DataFrame:
+    """One row of ``docs`` for each (doc_id, _mark) of ``best``; ``found`` has all rows' ids.
+
+    An id that one row has tells the row. Rows that repeat an id get their marks again by
+    ``mark``, and the greatest of ``order``, then of a hash of the columns, stands for those alike.
+    """
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("m"))
+    chosen = best.join(ids.select(F.col("doc_id").alias("_id"), "m"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("_id", "_mark", "m")
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    once = docs.join(chosen.where("m = 1"), same, "left_semi")
+    several = mark(docs.join(chosen.where("m > 1"), same, "left_semi"))
+    marked = several.join(chosen.where("m > 1").select("_id", F.col("_mark").alias("_best")).distinct(), same & (F.col("_mark") == F.col("_best")), "left_semi")
+    row = F.struct(*docs.columns)
+    one = marked.groupBy("doc_id", "_mark").agg(F.max_by(row, F.struct(order, F.xxhash64(*docs.columns), F.hash(*docs.columns))).alias("_row"))
+    return once.union(one.select("_row.*"))
 
 
 def stage_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops contaminated documents; null and empty texts and an empty benchmark contaminate none."""
     return _contamination(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(*docs.columns)
 
 
 def stage_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source and the texts' tokens (null texts count as empty); a row for each row."""
     return _bpe(docs, ["doc_id", "lang", "source"])
 
 

@@ -23,8 +23,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ramify.llm.arrow import as_bytes, small_batches
+from ramify.llm.arrow import appended, as_bytes, small_batches
 from ramify.llm.components import connected_components
 from ramify.scratch import saved
 
@@ -44,8 +46,11 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int = 3) -> DataFrame:
-    """(id_col, fp): the fingerprint of each row's whole text, as a signed long."""
+def with_fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int = 3, also: list[str] | None = None) -> DataFrame:
+    """(id_col, fp): the fingerprint of each row's whole text, as a signed long; or the columns ``also`` and
+    the fingerprint's hex digits as _mark."""
+    if also is not None:
+        return _marked(df.select(*also), text_col, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,6 +61,17 @@ def with_fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int =
     return small_batches(df).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp long")
 
 
+def _marked(df: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    schema = T.StructType([*df.schema.fields, T.StructField("_mark", T.StringType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield appended(batch, arrow, {"_mark": pa.array([f"{fingerprint(t, shingle):016x}" for t in as_bytes(batch.column(text_col))], type=pa.string())})
+
+    return small_batches(df).mapInArrow(run, schema)
+
+
 def pivots(n: int) -> np.ndarray:
     """``n`` reference fingerprints, the same everywhere."""
     return np.array([xxhash.xxh64_intdigest(b"pivot", i) for i in range(n)], np.uint64)
@@ -172,7 +188,7 @@ def links(fps: DataFrame, k: int = 3, n_pivots: int = 16, part_rows: int = 512)
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, k: int = 3, shingle: int = 3) -> DataFrame:
-    """Per row: ``id_col``, fingerprint (16 hex digits), component_id.
+    """Per row: ``id_col``, fingerprint (16 hex digits), component_id, component (its least fingerprint, signed).
 
     component_id is the smallest id reachable over links of ``k`` differing bits or fewer, the
     row's own included. Texts without words share fingerprint zero and link like any other.
@@ -183,5 +199,5 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, k: int = 3, shing
     found = connected_components(links(per_fp.select("fp"), k))
     rooted = per_fp.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return docs.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = rooted.join(least, "root").select("fp", "component_id", F.col("root").alias("component"))
+    return docs.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component")

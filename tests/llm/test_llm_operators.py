@@ -375,6 +375,52 @@ def test_pipeline(spark, small):
     assert [tuple(r) for r in out[["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]].itertuples(index=False)] == want
 
 
+def piped(rows):
+    """Plain version for (doc_id or None, text): (doc_id, text) of the rows that stay, sorted."""
+    live = [(i, t) for i, t in rows if any(map(str.isalpha, t or ""))]
+    last = float("inf")
+    best = {}
+    for i, t in live:
+        n = "".join(t.translate({c: None for c in (32, 9, 10, 11, 12, 13)}))
+        best[n] = min(best.get(n, (1, last, "")), (-len(t), last if i is None else i, t))
+    live = [(i, t) for _, i, t in best.values()]
+    fps = [brute.simhash(t) for _, t in live]
+    group = brute.components(list(range(len(live))), fps)
+    first = {}
+    for (i, t), f, g in zip(live, fps, group):
+        first[g] = min(first.get(g, (last, 1 << 64, "")), (i, f, t))
+    live = [(i, t) for i, _, t in first.values()]
+    items = [(1, texts()[1]), (10, texts()[1]), (2, None), (3, "Die und der"), (4, "..")]
+    live = [x for x, w in zip(live, brute.decontamination([t for _, t in live], items)) if not w[4]]
+    return sorted((-1 if i == last else i, brute.sha(t.encode())) for i, t in live)
+
+
+@pytest.mark.parametrize("case", ["repeated", "null", "same id"])
+def test_pipeline_awkward_ids(spark, small, tmp_path, case):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    d, ids, rows = small
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    if case == "repeated":
+        docs = docs.union(docs).union(docs.limit(7))
+    elif case == "null":
+        docs = docs.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")))
+    else:
+        docs = docs.withColumn("doc_id", (F.col("doc_id") / 12).cast("long"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{d}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    have = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["decoded_sha256"]) for r in out) == piped(have)
+
+
+def test_pipeline_empty(spark, empty):
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, empty).count() == 0
+
+
 def test_language_accuracy_held_out(spark):
     d = "/root/testdata/sf0.01"
     docs = pd.read_parquet(f"{d}/documents.parquet")[["doc_id", "lang"]]
