@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -11,22 +12,41 @@ from pyspark.sql import functions as F
 
 from ramify.functions.numerics import average_ranks, pearson_matrix
 from ramify.functions.splines import gam
-from ramify.operators.relational import average_rank, count_windows, nearest, uniform
+from ramify.operators.relational import average_rank, count_windows, nearest, numbered, uniform
 
 
 def weighted_correlations(ranks: DataFrame, weights: DataFrame) -> DataFrame:
     """window, a, b, r: weighted Pearson correlations of each pair of genes in each window.
 
     ``ranks`` (cell, gene, rank) must have all cells of each gene; ``weights`` (cell, window, w).
+    Each partition adds up its cells' products; sums meet by window and pair.
     """
-    rows = ranks.join(weights, "cell")
-    mean = rows.groupBy("window", "gene").agg((F.sum(F.col("w") * F.col("rank")) / F.sum("w")).alias("_m"))
-    z = rows.join(mean, ["window", "gene"]).select("window", "cell", "gene", "w", (F.col("rank") - F.col("_m")).alias("z"))
-    other = z.select("window", "cell", F.col("gene").alias("b"), F.col("z").alias("zb"))
-    cov = z.withColumnRenamed("gene", "a").join(other, ["window", "cell"]).groupBy("window", "a", "b").agg(F.sum(F.col("w") * F.col("z") * F.col("zb")).alias("c"))
-    var = cov.where("a = b").select("window", F.col("a").alias("g"), F.col("c").alias("v"))
-    out = cov.where("a != b").join(var.withColumnsRenamed({"g": "a", "v": "va"}), ["window", "a"]).join(var.withColumnsRenamed({"g": "b", "v": "vb"}), ["window", "b"])
-    return out.select("window", "a", "b", (F.col("c") / F.sqrt(F.col("va") * F.col("vb"))).alias("r"))
+    names = [r[0] for r in ranks.select("gene").distinct().orderBy("gene").collect()]  # features
+    place = {g: i for i, g in enumerate(names)}
+    vectors = ranks.groupBy("cell").agg(F.collect_list("gene").alias("genes"), F.collect_list("rank").alias("x")).join(weights, "cell").select("window", "w", "genes", "x")
+
+    def products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = len(names)
+        sums: dict[int, tuple[np.ndarray, np.ndarray, float]] = {}  # of products, of values and of weights
+        for frame in frames:
+            for window, part in frame.groupby("window"):
+                x, w = np.zeros((len(part), n)), part["w"].to_numpy()
+                for i, (genes, values) in enumerate(zip(part["genes"], part["x"], strict=True)):
+                    x[i, [place[g] for g in genes]] = values
+                old = sums.get(window, (0.0, 0.0, 0.0))
+                sums[window] = old[0] + (x * w[:, None]).T @ x, old[1] + w @ x, old[2] + w.sum()
+        a, b = (i.ravel() for i in np.indices((n, n)))
+        for window, (xx, x, w) in sums.items():
+            yield pd.DataFrame({"window": window, "a": a, "b": b, "xx": xx.ravel(), "xa": x[a], "w": w})
+
+    kind = weights.schema["window"].dataType.simpleString()
+    parts = vectors.mapInPandas(products, f"window {kind}, a int, b int, xx double, xa double, w double")
+    pairs = parts.groupBy("window", "a", "b").agg(*[F.sum(c).alias(c) for c in ("xx", "xa", "w")])
+    own = pairs.where("a = b").select("window", F.col("a").alias("g"), (F.col("xx") - F.col("xa") ** 2 / F.col("w")).alias("v"), F.col("xa").alias("s"))
+    out = pairs.where("a != b").join(own.withColumnsRenamed({"g": "a", "v": "va"}).drop("s"), ["window", "a"]).join(own.withColumnsRenamed({"g": "b", "v": "vb", "s": "xb"}), ["window", "b"])
+    cov = F.col("xx") - F.col("xa") * F.col("xb") / F.col("w")
+    listed = F.array(*map(F.lit, names)) if names else F.array(F.lit(""))
+    return out.select("window", F.get(listed, F.col("a")).alias("a"), F.get(listed, F.col("b")).alias("b"), (cov / F.sqrt(F.col("va") * F.col("vb"))).alias("r"))
 
 
 def slide_cors(dense: DataFrame, weights: DataFrame, sets: DataFrame, perm_seed: int | None = None) -> DataFrame:
@@ -43,9 +63,19 @@ def slide_cors(dense: DataFrame, weights: DataFrame, sets: DataFrame, perm_seed:
     return cor.join(F.broadcast(sets.withColumnRenamed("gene", "b")), "b").groupBy("window", F.col("a").alias("gene"), "geneset").agg(F.avg("r").alias("cor"))
 
 
-def _window_frames(dense: DataFrame, cells: DataFrame, size: int, step: int, keys: list[str]) -> DataFrame:
-    windows = count_windows(cells.select("cell", "t", *keys), ["t", "cell"], size, step, keys)
-    return windows.join(dense.select("cell", "gene", "value"), "cell")
+def permuted_within(dense: DataFrame, cells: DataFrame, block: int, seed: int) -> DataFrame:
+    """branch, cell, gene, value: each gene's values on their own change cells within blocks of ``block`` cells in order of t.
+
+    Blocks begin at range(0, n - block, block), so what remains at a branch's end stays. ``dense`` has all cells of each gene.
+    """
+    place = numbered(cells.select("cell", "t", "branch"), ["t", "cell"], ["branch"])
+    width = F.least(F.lit(block), F.col("_n"))
+    place = place.withColumn("_b", F.floor(F.col("_i") / width)).withColumn("_moves", F.col("_b") * width < F.col("_n") - width).select("branch", "cell", "_i", "_b", "_moves", width.alias("_w"))
+    rows = dense.select("cell", "gene", "value").join(place, "cell")
+    drawn = F.row_number().over(Window.partitionBy("branch", "gene", "_b").orderBy(uniform(seed, F.col("cell"), F.col("gene")), "cell")) - 1
+    moved = rows.where("_moves").withColumn("_i", F.col("_b") * F.col("_w") + drawn).select("branch", "gene", "value", "_i")
+    still = rows.where("not _moves").select("branch", "cell", "gene", "value")
+    return moved.join(place.select("branch", "_i", "cell"), ["branch", "_i"]).select("branch", "cell", "gene", "value").union(still)
 
 
 def _wide(frame: pd.DataFrame) -> pd.DataFrame:
@@ -64,15 +94,16 @@ def synchro_stats(c: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[float, f
 
 
 def synchro_path(dense: DataFrame, cells: DataFrame, set_a: list[str], set_b: list[str], size: int = 200, step: int = 30, perm_block: int = 10, seed: int = 1, perm: bool = True) -> DataFrame:
-    """run (real, permuted), branch, window, t, dist, corAA, corBB, corAB; ``cells``: cell, t, branch."""
+    """run (real, permuted), branch, window, t, dist, corAA, corBB, corAB; ``cells``: cell, t, branch.
+
+    The null permutes each gene's values on their own within ``perm_block`` neighbouring cells.
+    """
     genes = sorted({*set_a, *set_b})
     mine = dense.where(F.col("gene").isin(genes))
-    runs = [("real", cells.select("cell", "t", "branch"))]
+    windows = count_windows(cells.select("cell", "t", "branch"), ["t", "cell"], size, step, ["branch"])
+    runs = [("real", cells.select("branch", "cell").join(mine, "cell").select("branch", "cell", "gene", "value"))]
     if perm:
-        w = Window.partitionBy("branch").orderBy("t", "cell")
-        block = cells.select("cell", "t", "branch").withColumn("_i", F.row_number().over(w)).withColumn("_b", F.floor((F.col("_i") - 1) / perm_block))
-        mixed = block.withColumn("_j", F.row_number().over(Window.partitionBy("branch").orderBy("_b", uniform(seed, F.col("cell")))))
-        runs.append(("permuted", mixed.join(block.select("branch", F.col("_i").alias("_j"), F.col("t").alias("_t")), ["branch", "_j"]).select("cell", F.col("_t").alias("t"), "branch")))
+        runs.append(("permuted", permuted_within(mine, cells, perm_block, seed)))
 
     def window(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         m = _wide(frame).reindex(columns=genes, fill_value=0.0)
@@ -82,7 +113,7 @@ def synchro_path(dense: DataFrame, cells: DataFrame, set_a: list[str], set_b: li
 
     out = None
     for run, rows in runs:
-        frames = _window_frames(mine, rows, size, step, ["branch"]).withColumn("run", F.lit(run))
+        frames = windows.join(rows, ["branch", "cell"]).withColumn("run", F.lit(run))
         one = frames.groupBy("run", "branch", "window").applyInPandas(window, "run string, branch string, window int, t double, dist double, corAA double, corBB double, corAB double")
         out = one if out is None else out.union(one)
     return out
@@ -117,8 +148,9 @@ def switch_point(p: np.ndarray, alp: float = 10.0) -> int:
 def module_inclusion(dense: DataFrame, cells: DataFrame, size: int = 300, step: int = 30, n_perm: int = 10, alp: float = 10.0, autocor_cut: float = 0.95, iterations: int = 15, least: int = 10, seed: int = 1) -> DataFrame:
     """branch, gene, inclusion_t: when each gene joins its module on each branch (null: never).
 
-    Windows are processed by separate tasks, each returning genes x (1 + n_perm) correlation
-    matrices; the iteration then works on these small matrices in one group per branch.
+    Windows hold size - 1 cells; the time of window j is the mean over ``size`` cells from
+    j * (step - 1) on. Windows are processed by separate tasks, each returning genes x (1 + n_perm)
+    correlation matrices; the iteration then works on these small matrices in one group per branch.
     """
     genes = [r[0] for r in dense.select("gene").distinct().orderBy("gene").collect()]  # the genes of one module
 
@@ -132,7 +164,7 @@ def module_inclusion(dense: DataFrame, cells: DataFrame, size: int = 300, step:
         for _ in range(n_perm):
             mats.append(np.nan_to_num(pearson_matrix(average_ranks(rng.permuted(x, axis=1)))) * mask)
         mats = [np.where(np.eye(len(genes), dtype=bool), 0.0, c) for c in mats]
-        return pd.DataFrame([(key[0], int(key[1]), float(m.index.get_level_values("t").to_numpy().mean()), np.stack(mats).ravel().tolist())], columns=["branch", "window", "t", "m"])
+        return pd.DataFrame([(key[0], int(key[1]), np.stack(mats).ravel().tolist())], columns=["branch", "window", "m"])
 
     def iterate(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("window")
@@ -152,9 +184,11 @@ def module_inclusion(dense: DataFrame, cells: DataFrame, size: int = 300, step:
         t = frame["t"].to_numpy()
         return pd.DataFrame([(key[0], g, float(t[o]) if o < n_w else None) for g, o in zip(genes, onset, strict=True)], columns=["branch", "gene", "inclusion_t"])
 
-    frames = _window_frames(dense, cells, size, step, ["branch"])
-    mats = frames.groupBy("branch", "window").applyInPandas(window, "branch string, window int, t double, m array<double>")
-    return mats.groupBy("branch").applyInPandas(iterate, "branch string, gene string, inclusion_t double")
+    order = [cells.select("cell", "t", "branch"), ["t", "cell"], size, step, ["branch"]]
+    frames = count_windows(*order, width=size - 1).join(dense.select("cell", "gene", "value"), "cell")
+    times = count_windows(*order, stride=step - 1).groupBy("branch", "window").agg(F.avg("t").alias("t"))
+    mats = frames.groupBy("branch", "window").applyInPandas(window, "branch string, window int, m array<double>")
+    return mats.join(times, ["branch", "window"]).groupBy("branch").applyInPandas(iterate, "branch string, gene string, inclusion_t double")
 
 
 def kept_inclusions(maps: DataFrame, map_cutoff: float = 0.8) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ramify.scratch import saved
+
 
 def equal_width_bin(value: Column, low: Column, high: Column, n: int) -> Column:
     """Number (from 1) of the right-closed bin of equal width; the lowest value falls in the first."""
@@ -37,13 +39,46 @@ def vote(df: DataFrame, key: str, choice: str) -> DataFrame:
     return counts.groupBy(key).agg(best.alias("b")).select(key, f"b.{choice}", "b.votes")
 
 
+def _ranged(df: DataFrame, *order: str | Column) -> DataFrame:
+    """``df`` in ranges of ``order``, written once, with the range's number as _part."""
+    return saved(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
+
+
+def numbered(df: DataFrame, order: list[str], key: list[str] | None = None) -> DataFrame:
+    """``df`` with _i (place from 0 in ``order`` within ``key``) and _n (rows of the key).
+
+    Rows are sorted in ranges; each range adds up what stands before it, so a key of any size
+    takes as many tasks as it has ranges.
+    """
+    key = key or []
+    rows = _ranged(df, *key, *order)
+    sizes = rows.groupBy(*key, "_part").agg(F.count("*").alias("_m"))  # a row per range, and one more per key at most
+    whole = Window.partitionBy(*key)
+    before = F.coalesce(F.sum("_m").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(*key, "_part", before.alias("_before"), F.sum("_m").over(whole).alias("_n"))
+    local = F.row_number().over(Window.partitionBy(*key, "_part").orderBy(*order)) - 1
+    return rows.withColumn("_l", local).join(offsets, [*key, "_part"]).withColumn("_i", F.col("_before") + F.col("_l")).drop("_l", "_before", "_part")
+
+
 def bh_adjusted(df: DataFrame, p: str, out: str, log: bool = False) -> DataFrame:
-    """Benjamini-Hochberg over all rows. One row per tested feature, so one window holds them."""
-    n = df.agg(F.count(p).alias("_n"))
-    ranked = df.join(F.broadcast(n)).withColumn("_r", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(p)))
+    """Benjamini-Hochberg over all rows; null p values get null and don't count.
+
+    Equal p values share the rank of the last of them, so distinct ones are counted first, then
+    ranked and scanned for minima in ranges, with a row per range carried over.
+    """
+    known = df.where(F.col(p).isNotNull())
+    rows = _ranged(known.groupBy(p).agg(F.count("*").alias("_m")), p)
+    part = Window.partitionBy("_part")
+    sizes = rows.groupBy("_part").agg(F.sum("_m").alias("_s"))
+    before = F.coalesce(F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_part", before.alias("_before"), F.sum("_s").over(Window.partitionBy()).alias("_n"))  # a row per range
+    ranked = rows.join(F.broadcast(offsets), "_part").withColumn("_r", F.col("_before") + F.sum("_m").over(part.orderBy(p).rowsBetween(Window.unboundedPreceding, 0)))
     q = F.col(p) + F.log(F.col("_n") / F.col("_r")) if log else F.col(p) * F.col("_n") / F.col("_r")
-    down = Window.partitionBy(F.lit(1)).orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("_q", q).withColumn(out, F.min("_q").over(down)).drop("_n", "_r", "_q")
+    ranked = ranked.withColumn("_q", q)
+    least = ranked.groupBy("_part").agg(F.min("_q").alias("_least"))
+    after = least.select("_part", F.min("_least").over(Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)).alias("_after"))
+    scanned = ranked.join(F.broadcast(after), "_part").withColumn(out, F.least(F.min("_q").over(part.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)), "_after"))
+    return df.join(scanned.select(p, out), p, "left").select(*df.columns, out)
 
 
 def bonferroni(df: DataFrame, p: str, out: str) -> DataFrame:
@@ -60,14 +95,16 @@ def value_windows(low: float, high: float, n: int, steps: int) -> list[tuple[flo
     return [(low + i * size / steps, low + i * size / steps + size) for i in range(n * steps) if low + i * size / steps + size < high]
 
 
-def count_windows(df: DataFrame, order: list[str], size: int, step: int, key: list[str] | None = None) -> DataFrame:
-    """Rows with ``window``: windows of ``size`` rows every ``step`` rows, as range(0, n - size, step)."""
-    key = key or []
-    w = Window.partitionBy(*key)
-    numbered = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    first = F.greatest(F.lit(0), F.ceil((F.col("_i") - (size - 1)) / step))
-    last = F.least(F.floor(F.col("_i") / step), F.ceil((F.col("_n") - size) / step) - 1)
-    spread = numbered.where(last >= first).withColumn("window", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+def count_windows(df: DataFrame, order: list[str], size: int, step: int, key: list[str] | None = None, width: int | None = None, stride: int | None = None) -> DataFrame:
+    """Rows with ``window``: windows of ``size`` rows every ``step`` rows, as range(0, n - size, step).
+
+    ``width`` rows of each are taken, and ``stride`` rows stand between their starts, if given; their number stays.
+    """
+    width, stride = width or size, stride or step
+    rows = numbered(df, order, key)
+    first = F.greatest(F.lit(0), F.ceil((F.col("_i") - (width - 1)) / stride))
+    last = F.least(F.floor(F.col("_i") / stride), F.ceil((F.col("_n") - size) / step) - 1)
+    spread = rows.where(last >= first).withColumn("window", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
     return spread.drop("_i", "_n")
 
 
