@@ -33,7 +33,9 @@ class Smooth:
 def thin_plate(x: np.ndarray, k: int, shrink: bool = False, max_knots: int = 200) -> Smooth:
     """A basis of ``k`` functions with the constant left out (k - 1 columns).
 
-    ``shrink`` also penalises the line a little, so that the whole term can vanish.
+    ``shrink`` also penalises the line a little, so that the whole term can vanish. The radial
+    functions stand on the distinct values of x or, beyond ``max_knots`` of them, on as many evenly
+    spaced ranks; all rows take part in the fit either way.
     """
     centre, scale = float(x.mean()), float(x.std()) or 1.0
     knots = np.unique((x - centre) / scale)

@@ -71,13 +71,14 @@ def test_association(expr: DataFrame, maps: DataFrame, k: int = 5, fdr_cut: floa
     stats = None
     for (m,) in maps.select("map_id").distinct().orderBy("map_id").collect():
         one = per_feature(expr, maps.where(F.col("map_id") == m), ["t", "seg"], lambda g, f: [(g, *association(f["t"].to_numpy(), f["seg"].to_numpy(), f["y"].to_numpy(), k))], "gene string, p_val double, A double")
-        one = bonferroni_over(one, "p_val", "fdr").withColumn("map_id", F.lit(m))
+        one = bonferroni_over(one, "p_val", "fdr", expr).withColumn("map_id", F.lit(m))
         stats = one if stats is None else stats.union(one)
     return apply_filters(stats, fdr_cut, a_cut, st_cut)
 
 
-def bonferroni_over(stats: DataFrame, p: str, out: str) -> DataFrame:
-    n = stats.count()
+def bonferroni_over(stats: DataFrame, p: str, out: str, expr: DataFrame) -> DataFrame:
+    """Bonferroni over the features of ``expr``, so that the fits behind ``stats`` run once."""
+    n = expr.select("gene").distinct().count()
     return stats.withColumn(out, F.least(F.col(p) * n, F.lit(1.0)))
 
 
@@ -225,7 +226,11 @@ def moran_i(values: DataFrame, edges: DataFrame) -> DataFrame:
     top = pairs.groupBy("gene").agg(F.sum(F.col("w") * F.col("za") * F.col("zb")).alias("top"))
     j = top.join(below, "gene").crossJoin(F.broadcast(w)).withColumn("morans_I", F.col("n") / F.col("W") * F.col("top") / F.col("zz"))
     score = (F.col("morans_I") + 1 / (F.col("n") - 1)) / F.sqrt(2 * F.col("W2") / F.col("W") ** 2)
-    tail = F.udf(lambda x: num.normal_sf(x) if x is not None else None, "double")
+
+    @F.pandas_udf("double")
+    def tail(x: pd.Series) -> pd.Series:
+        return x.map(num.normal_sf, na_action="ignore")
+
     return j.select("gene", "morans_I", tail(score).alias("p"))  # a row per gene
 
 

@@ -219,10 +219,10 @@ def _grown(adjacency: np.ndarray, nodes: np.ndarray, kind: str) -> list[tuple[np
     return out
 
 
-def elastic_graph(reps: DataFrame, n_nodes: int, kind: str = "tree", lam: float = 0.01, mu: float = 0.1, radius: float = float("inf"), seed: int = 1, refine: int = 3, tries: int = 12) -> PrincipalGraph:
+def elastic_graph(reps: DataFrame, n_nodes: int, kind: str = "tree", lam: float = 0.01, mu: float = 0.1, radius: float = float("inf"), seed: int = 1, refine: int = 3, at_once: int = 32) -> PrincipalGraph:
     """An elastic graph (Albergante et al. 2020): of all graphs with one node more keep the one with the least energy.
 
-    All candidates of a round (``tries`` at most, those on the longest edges first) are measured in one job.
+    All candidates of a round are measured, ``at_once`` of them in a job.
     """
     reps = reps.cache()
     try:
@@ -239,14 +239,14 @@ def elastic_graph(reps: DataFrame, n_nodes: int, kind: str = "tree", lam: float
             nodes = settled(adjacency, nodes, _hard_sums(reps, [nodes], radius)[0])
         while nodes.shape[1] < n_nodes:
             options = _grown(adjacency, nodes, kind)
-            length = [max(pairwise(f[:, [-1]], f[:, np.flatnonzero(b[-1])])[0]) for b, f in options]
-            options = [options[i] for i in np.argsort(-np.array(length), kind="stable")[:tries]]
-            sums = _hard_sums(reps, [f for _, f in options], radius)
-            settled_nodes = [settled(b, f, s) for (b, f), s in zip(options, sums, strict=True)]
-            scored = _hard_sums(reps, settled_nodes, radius)
-            energy = [s[2] / n + float(np.trace(f @ _elastic(b, lam, mu) @ f.T)) for (b, _), f, s in zip(options, settled_nodes, scored, strict=True)]
-            best = int(np.argmin(energy))
-            adjacency, nodes = options[best][0], settled_nodes[best]
+            found = []
+            for at in range(0, len(options), at_once):
+                some = options[at : at + at_once]
+                sums = _hard_sums(reps, [f for _, f in some], radius)
+                moved = [settled(b, f, s) for (b, f), s in zip(some, sums, strict=True)]
+                scored = _hard_sums(reps, moved, radius)
+                found += [(s[2] / n + float(np.trace(f @ _elastic(b, lam, mu) @ f.T)), b, f) for (b, _), f, s in zip(some, moved, scored, strict=True)]
+            _, adjacency, nodes = min(found, key=lambda x: x[0])
         return PrincipalGraph(adjacency, nodes, "epg", lam=lam)
     finally:
         reps.unpersist()

@@ -51,7 +51,7 @@ def test_fork(expr: DataFrame, paths: DataFrame, rescale: bool = False) -> DataF
         p = full.p_value(1)
         return [(gene, 1.0 if np.isnan(p) else p, anova_p(full, group_gam(t, y, g, by=False)))]
 
-    tested = bonferroni_over(per_feature(expr, cells, ["t", "branch"], kernel, "gene string, de_p double, inter_p double"), "de_p", "fdr")
+    tested = bonferroni_over(per_feature(expr, cells, ["t", "branch"], kernel, "gene string, de_p double, inter_p double"), "de_p", "fdr", expr)
     effects = branch_effects(expr, cells)
     wide = effects.groupBy("gene").pivot("branch", branches).agg(F.first("effect"))
     best = effects.groupBy("gene").agg(F.max_by("branch", F.struct("effect", F.col("branch"))).alias("branch"))
@@ -121,5 +121,5 @@ def slopes(rows: DataFrame, key: str, t: str, value: str) -> DataFrame:
 def activation_lm(expr: DataFrame, before: DataFrame, fdr_cut: float = 0.05, stf_cut: float = 0.8) -> DataFrame:
     """gene, slope, pre_pval, pre_fdr, prefork_signi, module, over the cells before the fork (cell, t)."""
     rows = per_feature(expr, before, ["t"], lambda g, f: [(g, *(float(v) for v in num.ols(f["t"].to_numpy(), f["y"].to_numpy())))], "gene string, slope double, pre_pval double")
-    rows = bonferroni_over(rows.fillna(1.0, ["pre_pval"]), "pre_pval", "pre_fdr").withColumn("prefork_signi", (F.col("pre_fdr") < fdr_cut).cast("double"))
+    rows = bonferroni_over(rows.fillna(1.0, ["pre_pval"]), "pre_pval", "pre_fdr", expr).withColumn("prefork_signi", (F.col("pre_fdr") < fdr_cut).cast("double"))
     return rows.withColumn("module", F.when((F.col("slope") > 0) & (F.col("prefork_signi") > stf_cut), "early").otherwise("late"))

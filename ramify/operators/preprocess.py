@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ramify.functions import numerics as num
 from ramify.functions.splines import gam
+from ramify.scratch import saved
 
 
 def cell_totals(expr: DataFrame) -> DataFrame:
@@ -87,22 +89,47 @@ def find_overdispersed(expr: DataFrame, gam_k: int = 5, alpha: float = 0.05) ->
     return expr.sparkSession.createDataFrame(rows.drop(columns="n_cells"))
 
 
-def euclid(a: str, b: str):
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
+def knn(reps: DataFrame, k: int, block: int = 2048) -> DataFrame:
+    """src, dst, d, rank: the k nearest rows of each row, itself left out, exact; ties go by dst.
 
-
-def knn(reps: DataFrame, k: int, block: int = 64) -> DataFrame:
-    """src, dst, d, rank: the k nearest rows of each row, itself left out, exact.
-
-    Rows meet in ``block`` x ``block`` pairs of hash blocks; each pair of blocks keeps the k best
-    of each row before the results meet, so a task holds two blocks, not all rows.
+    Rows are packed in blocks of about ``block`` by hash, a matrix each. Every pair of blocks is one
+    group, whose task multiplies the matrices and keeps the k best of each row before the
+    results meet, so a task holds two blocks, not all rows.
     """
-    rows = reps.select("cell", "x").withColumn("b", F.pmod(F.xxhash64("cell"), F.lit(block)).cast("int"))
-    left = rows.select(F.col("cell").alias("src"), F.col("x").alias("xa"), F.col("b").alias("ba"), F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("bb"))
-    right = rows.select(F.col("cell").alias("dst"), F.col("x").alias("xb"), F.col("b").alias("bb"))
-    pairs = left.join(right, "bb").where("src != dst").withColumn("d", euclid("xa", "xb"))
-    order = lambda *p: F.row_number().over(Window.partitionBy(*p).orderBy("d", "dst"))
-    return pairs.select("src", "dst", "d", "bb").withColumn("r", order("src", "bb")).where(F.col("r") <= k).drop("r", "bb").withColumn("rank", order("src")).where(F.col("rank") <= k)
+    rows = reps.select("cell", "x")
+    n_blocks = max(1, -(-rows.count() // block))
+    kind = reps.schema["cell"].dataType.simpleString()
+
+    def pack(group: pa.Table) -> pa.Table:
+        group = group.sort_by("cell").combine_chunks()
+        x = np.asarray(group["x"].combine_chunks().flatten(), np.float64)
+        cells = group["cell"].combine_chunks()
+        return pa.table({"b": group["b"][:1], "cells": pa.ListArray.from_arrays(pa.array([0, len(cells)], pa.int32()), cells), "x": pa.array([x.tobytes()], pa.binary())})
+
+    packed = saved(rows.withColumn("b", F.pmod(F.xxhash64("cell"), F.lit(n_blocks)).cast("int")).groupBy("b").applyInArrow(pack, f"b int, cells array<{kind}>, x binary"), "knn-blocks")
+    every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
+    left = packed.select(F.col("b").alias("i"), every.alias("j"), "cells", "x").groupBy("i", "j")
+    right = packed.select(every.alias("i"), F.col("b").alias("j"), "cells", "x").groupBy("i", "j")
+
+    def best(one: pa.Table, other: pa.Table) -> pa.Table:
+        if not one.num_rows or not other.num_rows:  # a block that no row falls in
+            return pa.table({"src": one["cells"].combine_chunks().flatten()[:0], "dst": one["cells"].combine_chunks().flatten()[:0], "d": pa.array([], pa.float64())})
+        src, dst = (np.asarray(t["cells"].combine_chunks().flatten()) for t in (one, other))
+        x, y = (np.frombuffer(t["x"][0].as_py(), np.float64).reshape(len(ids), -1) for t, ids in ((one, src), (other, dst)))
+        gap = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T
+        gap[src[:, None] == dst[None, :]] = np.inf
+        many = min(k, len(dst))
+        cut = np.partition(gap, many - 1, axis=1)[:, many - 1 : many]
+        # Candidates by the product, with room for its rounding; then exact distances decide.
+        a, b = np.nonzero((gap <= cut + 1e-7 * (1 + np.abs(cut))) & np.isfinite(gap))
+        d = np.sqrt(((x[a] - y[b]) ** 2).sum(axis=1))
+        order = np.lexsort((dst[b], d, a))
+        a, b, d = a[order], b[order], d[order]
+        near = np.arange(len(a)) - np.searchsorted(a, a) < k
+        return pa.table({"src": src[a[near]], "dst": dst[b[near]], "d": d[near]})
+
+    found = left.cogroup(right).applyInArrow(best, f"src {kind}, dst {kind}, d double")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("d", "dst"))).where(F.col("rank") <= k)
 
 
 def adaptive_kernel(neighbours: DataFrame, k: int) -> DataFrame:
@@ -127,8 +154,6 @@ def diffusion(reps: DataFrame, n_components: int = 5, k: int = 30, alpha: float
 
     Of a round only products of components with each other (n x n numbers) reach the driver.
     """
-    from ramify.scratch import saved
-
     t = saved(markov(adaptive_kernel(knn(reps, k), k), alpha), "markov")
     m = n_components + 1
     start = F.array(*[F.pmod(F.xxhash64("cell", F.lit(i)), F.lit(1 << 20)) / float(1 << 19) - 1 for i in range(m)])
