@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -144,17 +145,17 @@ KERNEL = KNN + """, sg AS (SELECT src, d AS sigma FROM nn WHERE rank = 3), w1 AS
 
 @query(KNN + " SELECT src, dst, round(d, 6) AS d, CAST(rank AS INTEGER) AS rank FROM nn")
 def pp_knn(spark, sf):
-    return preprocess.knn(tables.vectors(spark, sf), 9, 8).select("src", "dst", rnd("d").alias("d"), "rank")
+    return preprocess.knn(tables.vectors(spark, sf), 9).select("src", "dst", rnd("d").alias("d"), "rank")
 
 
 @query(KERNEL + " SELECT src, dst, round(w, 6) AS w FROM kn")
 def pp_adaptive_kernel(spark, sf):
-    return preprocess.adaptive_kernel(preprocess.knn(tables.vectors(spark, sf), 9, 8), 9).withColumn("w", rnd("w"))
+    return preprocess.adaptive_kernel(preprocess.knn(tables.vectors(spark, sf), 9), 9).withColumn("w", rnd("w"))
 
 
 @query(KERNEL + ", f AS (SELECT src, 1 / sum(w) AS f FROM kn GROUP BY 1), a AS (SELECT kn.src, kn.dst, kn.w * f.f * g.f AS w FROM kn JOIN f ON kn.src = f.src JOIN f g ON kn.dst = g.src) SELECT src, dst, round(w / sum(w) OVER (PARTITION BY src), 6) AS p FROM a")
 def pp_markov_norm(spark, sf):
-    return preprocess.markov(preprocess.adaptive_kernel(preprocess.knn(tables.vectors(spark, sf), 9, 8), 9), 1.0).withColumn("p", rnd("p"))
+    return preprocess.markov(preprocess.adaptive_kernel(preprocess.knn(tables.vectors(spark, sf), 9), 9), 1.0).withColumn("p", rnd("p"))
 
 
 @query()
@@ -635,9 +636,12 @@ def cov_ovr_lfc(spark, sf):
 # --- bifurcations ---
 
 
-@query(f"WITH {M}, p AS (SELECT cell, t, seg AS branch FROM m) SELECT cell, round(t, 4) AS t, branch FROM (SELECT *, count(*) OVER (PARTITION BY cell) AS n FROM (SELECT cell, branch, min(t) AS t FROM p WHERE t < 20000 GROUP BY 1, 2)) WHERE n = 1")
+@query(f"""WITH {M}, p AS (SELECT cell * 1000000 + CAST(floor(t / 86400) AS BIGINT) AS cell, t, seg AS branch FROM m)
+  SELECT cell, round(t, 4) AS t, branch FROM (SELECT *, count(*) OVER (PARTITION BY cell) AS n FROM (SELECT cell, branch, min(t) AS t FROM p GROUP BY 1, 2)) WHERE n = 1""")
 def fork_unique_cells(spark, sf):
-    p = tables.mappings(spark, sf).where("t < 20000").groupBy("cell", F.col("seg").alias("branch")).agg(F.min("t").alias("t"))
+    """A cell is a user's day: some days are on one branch only, others on several."""
+    day = F.col("cell") * 1_000_000 + F.floor(F.col("t") / 86400)
+    p = tables.mappings(spark, sf).groupBy(day.alias("cell"), F.col("seg").alias("branch")).agg(F.min("t").alias("t"))
     return fork.branch_cells(p).select("cell", rnd("t", 4).alias("t"), "branch")
 
 
@@ -748,7 +752,7 @@ def slide_avg_rank(spark, sf):
     return e.select("cell", relational.average_rank("v", "seg").alias("rank"))
 
 
-DC = C + """, gl AS (SELECT gene FROM c GROUP BY 1 ORDER BY 1 LIMIT 4), cl AS (SELECT DISTINCT cell FROM c), de AS (SELECT cl.cell, gl.gene, coalesce(c.value, 0)::DOUBLE AS value FROM cl CROSS JOIN gl LEFT JOIN c ON c.cell = cl.cell AND c.gene = gl.gene)"""
+DC = C + """, gl AS (SELECT DISTINCT gene FROM c), cl AS (SELECT DISTINCT cell FROM c), de AS (SELECT cl.cell, gl.gene, coalesce(c.value, 0)::DOUBLE AS value FROM cl CROSS JOIN gl LEFT JOIN c ON c.cell = cl.cell AND c.gene = gl.gene)"""
 
 
 def _dense(spark, sf) -> DataFrame:
@@ -756,17 +760,11 @@ def _dense(spark, sf) -> DataFrame:
     return preprocess.dense_slice(c, c, c)
 
 
-def _dense_sql(spark, sf) -> DataFrame:
-    """The four genes that DC, the SQL of slide_weighted_corr, incl_mask and get_modules, is about."""
-    c = tables.counts(spark, sf)
-    return preprocess.dense_slice(c, c, c.select("gene").distinct().orderBy("gene").limit(4))
-
-
 @query(f"""WITH {DC}, rk AS (SELECT cell, gene, rank() OVER (PARTITION BY gene ORDER BY value) + (count(*) OVER (PARTITION BY gene, value) - 1) / 2.0 AS x FROM de),
   w AS (SELECT cell, CAST(cell % 3 AS INTEGER) AS win, 1 + (cell % 7) / 10.0 AS w FROM cl), z AS (SELECT rk.cell, gene, win, w, x - sum(w * x) OVER (PARTITION BY win, gene) / sum(w) OVER (PARTITION BY win, gene) AS z FROM rk JOIN w USING (cell))
   SELECT a.win AS "window", a.gene AS a, b.gene AS b, round(sum(a.w * a.z * b.z) / sqrt(sum(a.w * a.z * a.z) * sum(a.w * b.z * b.z)), 6) + 0.0 AS r FROM z a JOIN z b ON a.cell = b.cell AND a.gene <> b.gene GROUP BY 1, 2, 3""")
 def slide_weighted_corr(spark, sf):
-    dense = _dense_sql(spark, sf)
+    dense = _dense(spark, sf)
     ranks = dense.withColumn("rank", relational.average_rank("value", "gene")).select("cell", "gene", "rank")
     w = dense.select("cell").distinct().select("cell", (F.col("cell") % 3).cast("int").alias("window"), (1 + (F.col("cell") % 7) / 10.0).alias("w"))
     return cors.weighted_correlations(ranks, w).withColumn("r", rnd("r"))
@@ -833,7 +831,7 @@ def synchro_inter_cor(spark, sf):
 
 @query(f"WITH {DC}, z AS (SELECT cell, gene FROM de WHERE value <> 0) SELECT a.gene AS a, b.gene AS b, count(*) AS n FROM z a JOIN z b ON a.cell = b.cell AND a.gene < b.gene GROUP BY 1, 2 HAVING count(*) >= 10")
 def incl_mask(spark, sf):
-    return cors.coexpression_mask(_dense_sql(spark, sf), 10)
+    return cors.coexpression_mask(_dense(spark, sf), 10)
 
 
 @query(f"""WITH {M}, p AS (SELECT cell AS gene, row_number() OVER (PARTITION BY cell ORDER BY t, map_id) - 1 AS i, -10.0 * (value - floor(value)) + ln(10 / (1 - exp(-10.0))) AS g FROM m),
@@ -842,7 +840,11 @@ def incl_mask(spark, sf):
 def incl_switch_point(spark, sf):
     m = tables.mappings(spark, sf)
     p = m.withColumn("i", F.row_number().over(Window.partitionBy("cell").orderBy("t", "map_id")) - 1).withColumn("p", F.col("value") - F.floor("value"))
-    point = F.udf(lambda ps: cors.switch_point(np.array(ps)), "long")
+
+    @F.pandas_udf("long")
+    def point(ps: pd.Series) -> pd.Series:
+        return ps.map(cors.switch_point)
+
     return p.groupBy(F.col("cell").alias("gene")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "p"))), lambda s: s["p"]).alias("ps")).select("gene", point("ps").alias("switch"))
 
 
@@ -969,7 +971,7 @@ def get_fork_stats(spark, sf):
 @query(f"""WITH {DC}, k AS (SELECT gene, CASE WHEN gene < 'Brand#13' THEN 'b1' ELSE 'b2' END AS branch, CASE WHEN gene IN ('Brand#11', 'Brand#13') THEN 'early' ELSE 'late' END AS module FROM gl)
   SELECT cell, branch, module, round(avg(value), 6) AS value FROM de JOIN k USING (gene) GROUP BY 1, 2, 3""")
 def get_modules(spark, sf):
-    dense = _dense_sql(spark, sf)
+    dense = _dense(spark, sf)
     f = dense.select("gene").distinct().select("gene", F.when(F.col("gene") < "Brand#13", "b1").otherwise("b2").alias("branch"), F.when(F.col("gene").isin("Brand#11", "Brand#13"), "early").otherwise("late").alias("module"))
     return views.modules(dense, dense, f).withColumn("value", rnd("value"))
 
@@ -1001,22 +1003,22 @@ def cluster_features(spark, sf):
     return assoc.cluster_features(c.select("cell", "gene", F.col("value").alias("fitted")))
 
 
-MO = KNN + """, w AS (SELECT src, dst, 1.0 AS w FROM nn), vl AS (SELECT v.cell, 'g' || CAST(dim AS VARCHAR) AS gene, x - avg(x) OVER (PARTITION BY dim) AS z FROM v WHERE dim < 3)
+MO = KNN + """, w AS (SELECT src, dst, 1.0 AS w FROM nn), vl AS (SELECT v.cell, 'g' || CAST(dim AS VARCHAR) AS gene, x - avg(x) OVER (PARTITION BY dim) AS z FROM v)
   SELECT a.gene, round((SELECT count(DISTINCT cell) FROM v) / (SELECT sum(w) FROM w) * sum(w.w * a.z * b.z) / any_value(zz), 6) + 0.0 AS morans_I FROM w JOIN vl a ON w.src = a.cell JOIN vl b ON w.dst = b.cell AND a.gene = b.gene JOIN (SELECT gene, sum(z * z) AS zz FROM vl GROUP BY 1) q ON q.gene = a.gene GROUP BY 1"""
 
 
 @query(MO)
 def moran_i(spark, sf):
     v = tables.vectors(spark, sf)
-    edges = preprocess.knn(v, 9, 8).select("src", "dst", F.lit(1.0).alias("w"))
-    values = v.select("cell", F.posexplode(F.slice("x", 1, 3)).alias("dim", "value")).select("cell", F.concat(F.lit("g"), F.col("dim").cast("string")).alias("gene"), "value")
+    edges = preprocess.knn(v, 9).select("src", "dst", F.lit(1.0).alias("w"))
+    values = v.select("cell", F.posexplode("x").alias("dim", "value")).select("cell", F.concat(F.lit("g"), F.col("dim").cast("string")).alias("gene"), "value")
     return assoc.moran_i(values, edges).select("gene", rnd("morans_I").alias("morans_I"))
 
 
 @query()
 def assoc_monocle3(spark, sf):
     v = tables.vectors(spark, sf)
-    edges = preprocess.knn(v, 9, 8).select("src", "dst", F.lit(1.0).alias("w"))
+    edges = preprocess.knn(v, 9).select("src", "dst", F.lit(1.0).alias("w"))
     values = v.select("cell", F.posexplode("x").alias("dim", "value")).select("cell", F.concat(F.lit("g"), F.col("dim").cast("string")).alias("gene"), "value")
     return assoc.test_association_monocle3(values, values, edges)
 

@@ -59,3 +59,14 @@ def test_groups_and_interactions():
     assert group_gam(t, y + 2 * g, g).p_value(1) < 1e-6
     flat = 0.2 * rng.standard_normal(400)
     assert group_gam(t, flat, g).p_value(1) > 1e-3
+
+
+def test_more_knots_hardly_change_a_fit():
+    from ramify.functions import splines
+
+    rng = np.random.default_rng(4)
+    x = np.sort(rng.random(1500)) ** 2
+    y = np.sin(6 * x) + 0.2 * rng.standard_normal(1500)
+    few, many = (s.columns(x) for s in (splines.thin_plate(x, 8), splines.thin_plate(x, 8, max_knots=1500)))
+    fits = [c @ np.linalg.lstsq(c, y, rcond=None)[0] for c in (np.column_stack([np.ones(1500), b]) for b in (few, many))]
+    assert np.abs(fits[0] - fits[1]).max() < 0.01

@@ -150,3 +150,67 @@ def test_graph_and_layers_round_trip(spark, rooted, tmp_path):
     wide = spark.createDataFrame([(1, 0.0, 2.0), (2, 3.0, 0.0)], "cell long, a double, b double")
     write_layer(long_expression(wide, "cell", ["a", "b"]), f"{tmp_path}/e", "X")
     assert sorted(map(tuple, read_layer(spark, f"{tmp_path}/e", "X").collect())) == [(1, "b", 2.0), (2, "a", 3.0)]
+
+
+def test_synchro_null_is_one(spark):
+    """A branch whose genes follow one hidden signal: correlated as measured, not when genes are permuted on their own."""
+    rng = np.random.default_rng(5)
+    n, genes = 300, [f"g{i}" for i in range(4)]
+    hidden = rng.standard_normal(n)
+    dense = [(i, g, float(hidden[i] + 0.1 * rng.standard_normal())) for i in range(n) for g in genes]
+    dense = spark.createDataFrame(dense, "cell long, gene string, value double")
+    cells = spark.createDataFrame([(i, float(i), "b") for i in range(n)], "cell long, t double, branch string")
+    out = cors.synchro_path(dense, cells, genes[:2], genes[2:], size=100, step=50).toPandas()
+    mean = out.groupby("run").corAA.mean()
+    assert mean["real"] > 0.9 and abs(mean["permuted"]) < 0.25
+
+
+def test_permutation_stays_in_blocks_and_leaves_the_rest(spark):
+    dense = spark.createDataFrame([(i, g, float(100 * k + i)) for i in range(25) for k, g in enumerate("ab")], "cell long, gene string, value double")
+    cells = spark.createDataFrame([(i, float(i), "b") for i in range(25)], "cell long, t double, branch string")
+    got = cors.permuted_within(dense, cells, 10, 1).toPandas().set_index(["gene", "cell"]).value
+    for k, g in enumerate("ab"):
+        v = got[g].sort_index().to_numpy() - 100 * k
+        assert [sorted(v[a : a + 10]) for a in (0, 10)] == [list(range(0, 10)), list(range(10, 20))] and list(v[20:]) == list(range(20, 25))
+    assert list(got["a"].sort_index()) != list(got["b"].sort_index() - 100)
+
+
+def test_bh_with_ties_and_nulls(spark):
+    from ramify.functions.numerics import bh
+
+    rng = np.random.default_rng(6)
+    p = np.concatenate([rng.random(200), np.full(100, 0.5), [1.0] * 50])
+    rows = [(i, float(v)) for i, v in enumerate(p)] + [(1000, None)]
+    got = {r["i"]: r["q"] for r in relational.bh_adjusted(spark.createDataFrame(rows, "i int, p double"), "p", "q").collect()}
+    assert got.pop(1000) is None
+    assert np.allclose([got[i] for i in range(len(p))], bh(p))
+
+
+def test_numbers_within_keys(spark):
+    df = spark.range(5000).selectExpr("id % 3 as k", "cast((id * 7919) % 5003 as double) as v")
+    got = relational.numbered(df, ["v"], ["k"]).toPandas()
+    for _, g in got.groupby("k"):
+        g = g.sort_values("v")
+        assert list(g["_i"]) == list(range(len(g))) and (g["_n"] == len(g)).all()
+
+
+def test_weighted_correlations_equal_numpy(spark):
+    rng = np.random.default_rng(7)
+    x, w = rng.random((40, 3)), rng.random((2, 40))
+    ranks = spark.createDataFrame([(i, f"g{j}", float(x[i, j])) for i in range(40) for j in range(3)], "cell long, gene string, rank double")
+    weights = spark.createDataFrame([(i, k, float(w[k, i])) for i in range(40) for k in range(2)], "cell long, window int, w double")
+    for r in cors.weighted_correlations(ranks, weights).collect():
+        c = np.cov(x.T, aweights=w[r["window"]], bias=True)
+        a, b = int(r["a"][1]), int(r["b"][1])
+        assert r["r"] == pytest.approx(c[a, b] / np.sqrt(c[a, a] * c[b, b]))
+
+
+def test_elastic_graph_measures_all_candidates(spark, fork_data, monkeypatch):
+    cells, _, _ = fork_data
+    seen, grown = [], fit._grown
+    sums = fit._hard_sums
+    monkeypatch.setattr(fit, "_grown", lambda *a: seen.append(len(out := grown(*a))) or out)
+    measured = []
+    monkeypatch.setattr(fit, "_hard_sums", lambda reps, fs, radius: measured.append(len(fs)) or sums(reps, fs, radius))
+    g = fit.elastic_graph(cells, 5, "tree", at_once=3)
+    assert len(g.degree) == 5 and sum(measured[3:]) == 2 * sum(seen)
