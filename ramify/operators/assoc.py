@@ -1,8 +1,10 @@
-"""Tests and smooth fits of features along a graph; one shuffle by feature, then small groups.
+"""Tests and smooth fits of features along a graph.
 
-``cells`` is (cell, t, seg, ...), ``expr`` sparse (cell, gene, value). A feature's group holds its
-non-zero rows; the cells it lacks are zeros, restored inside the group from the cells' table,
-which is sent to every task when it is small and joined otherwise.
+``cells`` is (cell, t, seg, ...), ``expr`` sparse (cell, gene, value). Fits are made of sums (see
+``features``), so that neither a feature's cells nor the table of cells meet in one task.
+``per_feature`` is for kernels of any other kind: there a feature's group holds its non-zero rows,
+and the cells it lacks are restored inside the group from the cells' table, which is sent to every
+task when it is small and joined otherwise.
 """
 
 from __future__ import annotations
@@ -15,7 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ramify.functions import numerics as num
-from ramify.functions.splines import anova_p, gam, group_gam
+from ramify.functions.splines import SumFit, anova_p, fit_sums, group_terms
+from ramify.operators.features import Features, Key, collected, gam_sums
+from ramify.scratch import saved
 
 #: Cells that are sent to all tasks at most; beyond, zeros are restored by a join.
 BROADCAST_CELLS = 2_000_000
@@ -47,33 +51,33 @@ def per_feature(expr: DataFrame, cells: DataFrame, columns: list[str], kernel: C
     return rows.groupBy("gene").applyInPandas(run, schema)
 
 
-def association(t: np.ndarray, seg: np.ndarray, y: np.ndarray, k: int = 5) -> tuple[float, float]:
-    """(p, amplitude): splines of each segment against the mean of all."""
-    deviance, df_resid, fits, n_seg = 0.0, 0.0, [], 0
-    for s in pd.unique(seg):
-        m = seg == s
-        fit = gam(t[m], y[m], k)
+def association_sums(keys: dict[str, Key], by: dict[str, tuple[np.ndarray, float]]) -> tuple[float, list[float]]:
+    """(p, coefficients of all segments): splines of each segment against the mean of all."""
+    deviance, df_resid, beta = 0.0, 0.0, []
+    for name, key in keys.items():
+        fit, coefficients = gam_sums(key, *by[name])
         deviance += fit.deviance
-        df_resid += m.sum() - fit.edf
-        fits.append(fit.fitted)
-        n_seg += 1
-    null, df0 = float(((y - y.mean()) ** 2).sum()), len(y) - 1
-    df = df_resid - n_seg
-    amplitude = float(np.concatenate(fits).max() - np.concatenate(fits).min())
-    if deviance <= 1e-12 or df <= 0 or df0 - df <= 0:
-        return 1.0, amplitude
-    f = (null - deviance) / (df0 - df) / (deviance / df)
-    return num.f_sf(f, df0 - df, df), amplitude
+        df_resid += key.n - fit.edf
+        beta += coefficients.tolist()
+    n, yy = sum(k.n for k in keys.values()), sum(v for _, v in by.values())
+    null, df0 = yy - sum(xy[0] for xy, _ in by.values()) ** 2 / n, n - 1
+    df = df_resid - len(keys)
+    if deviance <= 1e-12 + 1e-11 * yy or df <= 0 or df0 - df <= 0:  # nothing is left, but for rounding
+        return 1.0, beta
+    return num.f_sf((null - deviance) / (df0 - df) / (deviance / df), df0 - df, df), beta
 
 
 def test_association(expr: DataFrame, maps: DataFrame, k: int = 5, fdr_cut: float = 1e-4, a_cut: float = 1.0, st_cut: float = 0.8) -> DataFrame:
     """gene, p_val, A, fdr, st, signi; ``maps`` (map_id, cell, t, seg) holds one or more mappings."""
-    stats = None
+    out = None
     for (m,) in maps.select("map_id").distinct().orderBy("map_id").collect():
-        one = per_feature(expr, maps.where(F.col("map_id") == m), ["t", "seg"], lambda g, f: [(g, *association(f["t"].to_numpy(), f["seg"].to_numpy(), f["y"].to_numpy(), k))], "gene string, p_val double, A double")
-        one = bonferroni_over(one, "p_val", "fdr", expr).withColumn("map_id", F.lit(m))
-        stats = one if stats is None else stats.union(one)
-    return apply_filters(stats, fdr_cut, a_cut, st_cut)
+        f = Features(expr, maps.where(F.col("map_id") == m), "seg", k)
+        keys = f.keys
+        stats = saved(f.fits(lambda by, keys=keys: association_sums(keys, by), "p_val double, beta array<double>"), "association")
+        spans = f.ranges(collected(stats, list(keys), {n: x.size for n, x in keys.items()})).groupBy("gene").agg((F.max("high") - F.min("low")).alias("A"))
+        one = bonferroni_over(stats.select("gene", "p_val").join(spans, "gene"), "p_val", "fdr", expr).withColumn("map_id", F.lit(m))
+        out = one if out is None else out.union(one)
+    return apply_filters(out, fdr_cut, a_cut, st_cut)
 
 
 def bonferroni_over(stats: DataFrame, p: str, out: str, expr: DataFrame) -> DataFrame:
@@ -107,14 +111,15 @@ def test_association_covariate(expr: DataFrame, cells: DataFrame, group: str, **
 
 def fit_features(expr: DataFrame, paths: DataFrame, gamma: float = 1.5, knots: int = 10) -> DataFrame:
     """gene, cell, fitted: a shrinkage spline on each branch (columns cell, t, branch), averaged over branches."""
+    f = Features(expr, paths, "branch", knots, shrink=True)
+    keys = f.keys
+    stats = f.fits(lambda by: ([v for name, key in keys.items() for v in gam_sums(key, *by[name], gamma)[1]],), "beta array<double>")
 
-    def kernel(gene: str, f: pd.DataFrame) -> list[tuple]:
-        rows = []
-        for _, b in f.groupby("branch"):
-            rows += [(gene, c, float(v)) for c, v in zip(b["cell"], gam(b["t"].to_numpy(), b["y"].to_numpy(), knots, gamma, shrink=True).fitted, strict=True)]
-        return rows
+    def of(name: str, part: pd.DataFrame, genes: list[str], values: list[np.ndarray]) -> pd.DataFrame:
+        return pd.DataFrame({"gene": np.repeat(genes, len(part)), "cell": np.tile(part["cell"].to_numpy(), len(genes)), "fitted": values[0].T.ravel()})
 
-    return per_feature(expr, paths, ["t", "branch"], kernel, "gene string, cell long, fitted double").groupBy("gene", "cell").agg(F.avg("fitted").alias("fitted"))
+    coefficients = collected(stats, list(keys), {n: x.size for n, x in keys.items()})
+    return f.curves(coefficients, "gene string, cell long, fitted double", of).groupBy("gene", "cell").agg(F.avg("fitted").alias("fitted"))
 
 
 def linearity_labels(path: DataFrame, low: float = 20, high: float = 80) -> DataFrame:
@@ -150,15 +155,36 @@ def linearity_deviation(expr: DataFrame, path: DataFrame, low: float = 20, high:
     return out.select("gene", (total / F.col("nx") / F.col("sd")).alias("rss"))
 
 
-def covariate_p(t: np.ndarray, y: np.ndarray, group: np.ndarray, trend: bool = False, k: int = 5) -> float:
-    """Amplitude: p of the group's main effect. Trend: full model against one without the interaction."""
-    full = group_gam(t, y, group, k)
-    return anova_p(full, group_gam(t, y, group, k, by=False)) if trend else full.p_value(1)
+class GroupModels:
+    """y ~ [s(t)] + [s(t, by = group)] + group for all features, from sums of (1, columns of one smooth) by group."""
+
+    def __init__(self, keys: dict[str, Key]):
+        self.sizes = {name: k.size for name, k in keys.items()}
+        self.names, self.n = list(keys), sum(k.n for k in keys.values())
+        sums, size = [(k.n, k.xx) for k in keys.values()], next(iter(keys.values())).size
+        self.whole = np.zeros((size * len(sums), size * len(sums)))
+        for i, (_, xx) in enumerate(sums):
+            self.whole[i * size : (i + 1) * size, i * size : (i + 1) * size] = xx
+        smooth = next(iter(keys.values())).smooth
+        self.parts = {which: group_terms(sums, smooth.penalty if smooth else None, *which) for which in ((True, True), (True, False), (False, False))}
+
+    def fit(self, by: dict[str, tuple[np.ndarray, float]], shared: bool = True, own: bool = True) -> tuple[SumFit, list[float]]:
+        """(fit, coefficients of all groups' raw columns)."""
+        turn, terms = self.parts[shared, own]
+        xy, yy = np.concatenate([by[n][0] for n in self.names]), sum(by[n][1] for n in self.names)
+        fit = fit_sums(turn.T @ self.whole @ turn, turn.T @ xy, yy, self.n, terms)
+        return fit, (turn @ fit.beta).tolist()
+
 
+def covariate_p(models: GroupModels, by: dict[str, tuple[np.ndarray, float]], trend: bool = False) -> float:
+    """Amplitude: p of the second group's main effect. Trend: full model against one without the interaction."""
+    full = models.fit(by)[0]
+    return anova_p(full, models.fit(by, own=False)[0]) if trend else full.p_value(1)
 
-def nested_p(t: np.ndarray, y: np.ndarray, group: np.ndarray, k: int = 5) -> tuple[float, float]:
+
+def nested_p(models: GroupModels, by: dict[str, tuple[np.ndarray, float]]) -> tuple[float, float]:
     """(shared, specific): s(t) and group against group alone; the full model against the shared one."""
-    full, shared, null = group_gam(t, y, group, k), group_gam(t, y, group, k, by=False), group_gam(t, y, group, k, shared=False, by=False)
+    full, shared, null = models.fit(by)[0], models.fit(by, own=False)[0], models.fit(by, shared=False, own=False)[0]
     return anova_p(shared, null), anova_p(full, shared)
 
 
@@ -179,18 +205,17 @@ def fold_changes(expr: DataFrame, cells: DataFrame, group: str, log_base: float
 
 def test_covariate(expr: DataFrame, cells: DataFrame, group: str, trend: bool = False, nested: bool = False, fdr_cut: float = 0.01, log_base: float | None = None) -> DataFrame:
     """gene, p, fdr (or those of shared and specific), amplitude A, cov_signi; NaN p counts as 1."""
-    levels = [r[0] for r in cells.select(group).distinct().orderBy(group).collect()]
-    table = cells.sparkSession.createDataFrame([(v, i) for i, v in enumerate(levels)], f"{group} string, _g int")
-    coded = cells.join(F.broadcast(table), group)
-
-    def kernel(gene: str, f: pd.DataFrame) -> list[tuple]:
-        t, y, g = f["t"].to_numpy(), f["y"].to_numpy(), f["_g"].to_numpy()
-        fit = group_gam(t, y, g).fitted
-        spans = [np.ptp(fit[g == c]) if (g == c).any() else 0.0 for c in range(len(levels))]
-        p = nested_p(t, y, g) if nested else (covariate_p(t, y, g, trend), 1.0)
-        return [(gene, *(float(np.nan_to_num(v, nan=1.0)) for v in p), float(spans[0] if trend or nested else max(spans)))]
-
-    rows = per_feature(expr, coded, ["t", "_g"], kernel, "gene string, p double, p_specific double, A double").orderBy("gene").toPandas()
+    f = Features(expr, cells.where(F.col(group).isNotNull()), group, 5, common=True)
+    models = GroupModels(f.keys)
+
+    def kernel(by: dict[str, tuple[np.ndarray, float]]) -> tuple:
+        p = nested_p(models, by) if nested else (covariate_p(models, by, trend), 1.0)
+        return (*(float(np.nan_to_num(v, nan=1.0)) for v in p), models.fit(by)[1])
+
+    stats = saved(f.fits(kernel, "p double, p_specific double, beta array<double>"), "covariate")
+    spans = f.ranges(collected(stats, models.names, models.sizes)).withColumn("A", F.col("high") - F.col("low"))
+    spans = (spans.where(F.col("key") == models.names[0]) if trend or nested else spans).groupBy("gene").agg(F.max("A").alias("A"))
+    rows = stats.drop("beta").join(spans, "gene").orderBy("gene").toPandas()  # a row per feature
     if nested:
         rows["fdr"], rows["fdr_specific"] = (np.minimum(1, num.bh(rows[c].to_numpy())) for c in ("p", "p_specific"))
         rows["cov_signi"] = ((rows["fdr"] < fdr_cut) | (rows["fdr_specific"] < fdr_cut)).astype(int)
@@ -203,14 +228,16 @@ def test_covariate(expr: DataFrame, cells: DataFrame, group: str, trend: bool =
 
 def trend_covariate(expr: DataFrame, cells: DataFrame, group: str, k: int = 5) -> DataFrame:
     """gene, cell, full, reduced: fitted values with and without the interaction of time and group."""
-    levels = [r[0] for r in cells.select(group).distinct().orderBy(group).collect()]
-    table = cells.sparkSession.createDataFrame([(v, i) for i, v in enumerate(levels)], f"{group} string, _g int")
+    f = Features(expr, cells.where(F.col(group).isNotNull()), group, k, common=True)
+    models = GroupModels(f.keys)
+    stats = saved(f.fits(lambda by: (models.fit(by)[1], models.fit(by, own=False)[1]), "beta array<double>, reduced array<double>"), "trend")
+    both = [collected(stats, models.names, models.sizes, c) for c in ("beta", "reduced")]
+    coefficients = {g: {n: np.stack([x[g][n] for x in both]) for n in models.names} for g in both[0]}
 
-    def kernel(gene: str, f: pd.DataFrame) -> list[tuple]:
-        t, y, g = f["t"].to_numpy(), f["y"].to_numpy(), f["_g"].to_numpy()
-        return [(gene, int(c), float(a), float(b)) for c, a, b in zip(f["cell"], group_gam(t, y, g, k).fitted, group_gam(t, y, g, k, by=False).fitted, strict=True)]
+    def of(name: str, part: pd.DataFrame, genes: list[str], values: list[np.ndarray]) -> pd.DataFrame:
+        return pd.DataFrame({"gene": np.repeat(genes, len(part)), "cell": np.tile(part["cell"].to_numpy(), len(genes)), "full": values[0].T.ravel(), "reduced": values[1].T.ravel()})
 
-    return per_feature(expr, cells.join(F.broadcast(table), group), ["t", "_g"], kernel, "gene string, cell long, full double, reduced double")
+    return f.curves(coefficients, "gene string, cell long, full double, reduced double", of)
 
 
 def moran_i(values: DataFrame, edges: DataFrame) -> DataFrame:

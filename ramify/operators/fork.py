@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ramify.functions import numerics as num
-from ramify.functions.splines import gam, group_gam
-from ramify.operators.assoc import bonferroni_over, per_feature
+from ramify.functions.splines import anova_p
+from ramify.operators.assoc import GroupModels, bonferroni_over
+from ramify.operators.features import Features, collected, gam_sums, line_sums
 from ramify.operators.relational import only_once, value_windows
+from ramify.scratch import saved
 
 
 def branch_cells(paths: DataFrame, rescale: bool = False) -> DataFrame:
@@ -40,26 +40,26 @@ def test_fork(expr: DataFrame, paths: DataFrame, rescale: bool = False) -> DataF
 
     ``paths``: (cell, t, branch) of whole root-to-tip paths, shared cells once for each.
     """
-    from ramify.functions.splines import anova_p
-
     cells = branch_cells(paths, rescale)
-    branches = [r[0] for r in cells.select("branch").distinct().orderBy("branch").collect()]
+    f = Features(expr, cells, "branch", 5, common=True)
+    models = GroupModels(f.keys)
+    branches = models.names
 
-    def kernel(gene: str, f: pd.DataFrame) -> list[tuple]:
-        t, y, g = f["t"].to_numpy(), f["y"].to_numpy(), f["branch"].map({b: i for i, b in enumerate(branches)}).to_numpy()
-        full = group_gam(t, y, g)
+    def kernel(by: dict[str, tuple[np.ndarray, float]]) -> tuple:
+        full = models.fit(by)[0]
         p = full.p_value(1)
-        return [(gene, 1.0 if np.isnan(p) else p, anova_p(full, group_gam(t, y, g, by=False)))]
+        return 1.0 if np.isnan(p) else p, anova_p(full, models.fit(by, own=False)[0])
 
-    tested = bonferroni_over(per_feature(expr, cells, ["t", "branch"], kernel, "gene string, de_p double, inter_p double"), "de_p", "fdr", expr)
+    tested = bonferroni_over(f.fits(kernel, "de_p double, inter_p double"), "de_p", "fdr", expr)
     effects = branch_effects(expr, cells)
     wide = effects.groupBy("gene").pivot("branch", branches).agg(F.first("effect"))
     best = effects.groupBy("gene").agg(F.max_by("branch", F.struct("effect", F.col("branch"))).alias("branch"))
 
-    def slope(gene: str, f: pd.DataFrame) -> list[tuple]:
-        return [(gene, b, *num.ols(m["t"].to_numpy(), m["y"].to_numpy())) for b, m in f.groupby("branch")]
-
-    up = per_feature(expr, paths, ["t", "branch"], slope, "gene string, branch string, up_A double, up_p double")
+    lines = Features(expr, paths, "branch", 0)
+    keys = lines.keys
+    slope = lines.fits(lambda by: tuple(list(v) for v in zip(*(line_sums(key, *by[name]) for name, key in keys.items()), strict=True)), "a array<double>, p array<double>")
+    each = F.explode(F.arrays_zip(F.array(*map(F.lit, keys)).alias("branch"), "a", "p")).alias("e")
+    up = slope.select("gene", each).select("gene", "e.branch", F.col("e.a").alias("up_A"), F.col("e.p").alias("up_p"))
     out = tested.join(wide, "gene").join(best, "gene").join(up, ["gene", "branch"])
     return out.withColumn("signi_p", (F.col("de_p") < 0.05).cast("int")).withColumn("signi_fdr", (F.col("fdr") < 0.05).cast("int"))
 
@@ -79,28 +79,40 @@ def branch_specific(fork: DataFrame, branches: list[str], effect: float, stf_cut
     return passed.where(one).withColumn("branch", which)
 
 
-def onset(t: np.ndarray, fitted: np.ndarray, deriv_cut: float = 0.15, n_windows: int = 20, steps: int = 5) -> float:
-    """Middle of the first window in which the scaled fit rises by more than ``deriv_cut``; else the end plus one."""
-    order = np.argsort(t, kind="stable")
-    t, fitted = t[order], fitted[order]
-    span = np.ptp(fitted)
-    scaled = (fitted - fitted.min()) / span if span > 0 else np.zeros(len(t))
-    for a, b in value_windows(float(t[0]), float(t[-1]), n_windows, steps):
-        inside = scaled[(t > a) & (t < b)]
-        if len(inside) > 1 and inside[-1] - inside[0] > deriv_cut:
-            return (a + b) / 2
-    return float(t[-1]) + 1
+def window_ends(cells: DataFrame, key: str, n_windows: int, steps: int) -> dict[str, tuple[float, list[tuple[float, float, float]]]]:
+    """By key: the last t, and of each window with two cells or more its middle, first and last t."""
+    bounds = cells.groupBy(key).agg(F.min("t").alias("a"), F.max("t").alias("b")).collect()  # branches
+    windows = [(r[key], a, b) for r in bounds for a, b in value_windows(r["a"], r["b"], n_windows, steps)]
+    out: dict[str, tuple[float, list]] = {r[key]: (r["b"], []) for r in bounds}
+    if windows:
+        table = cells.sparkSession.createDataFrame(windows, f"{key} string, start double, end double")
+        inside = cells.join(F.broadcast(table), [key]).where((F.col("t") > F.col("start")) & (F.col("t") < F.col("end")))
+        for r in inside.groupBy(key, "start", "end").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count("*").alias("n")).where("n > 1").orderBy("start").collect():
+            out[r[key]][1].append(((r["start"] + r["end"]) / 2, r["a"], r["b"]))
+    return out
 
 
 def activation(expr: DataFrame, paths: DataFrame, features: DataFrame, fork_time: float, deriv_cut: float = 0.15, n_windows: int = 20, steps: int = 5) -> DataFrame:
-    """gene, branch, activation, module: early if at the fork or before. ``features``: gene, branch."""
-
-    def kernel(gene: str, f: pd.DataFrame) -> list[tuple]:
-        return [(gene, b, onset(m["t"].to_numpy(), gam(m["t"].to_numpy(), m["y"].to_numpy(), 10).fitted, deriv_cut, n_windows, steps)) for b, m in f.groupby("branch")]
+    """gene, branch, activation, module: early if at the fork or before. ``features``: gene, branch.
 
+    Activation is the middle of the first window in which the fit, scaled to its range, rises by
+    more than ``deriv_cut``; else the branch's end plus one.
+    """
     mine = expr.join(features.select("gene").distinct(), "gene", "left_semi")
-    rows = per_feature(mine, paths, ["t", "branch"], kernel, "gene string, branch string, activation double").join(features.select("gene", "branch"), ["gene", "branch"])
-    return rows.withColumn("module", F.when(F.col("activation") > fork_time, "late").otherwise("early"))
+    f = Features(mine, paths, "branch", 10)
+    keys = f.keys
+    stats = saved(f.fits(lambda by: ([v for name, key in keys.items() for v in gam_sums(key, *by[name])[1]],), "beta array<double>"), "activation")
+    fits = collected(stats, list(keys), {n: x.size for n, x in keys.items()})
+    ends = window_ends(f.cells, "key", n_windows, steps)
+    rises = {name: (last, [w[0] for w in found], keys[name].rows(np.array([w[2] for w in found])) - keys[name].rows(np.array([w[1] for w in found]))) for name, (last, found) in ends.items()}
+    rows = []
+    for r in f.ranges(fits).collect():  # a row per feature and branch
+        last, middle, rise = rises[r["key"]]
+        span = r["high"] - r["low"]
+        up = np.flatnonzero(rise @ fits[r["gene"]][r["key"]] > deriv_cut * span) if span > 0 else ()
+        rows.append((r["gene"], r["key"], float(middle[up[0]] if len(up) else last + 1)))
+    found = expr.sparkSession.createDataFrame(rows, "gene string, branch string, activation double").join(features.select("gene", "branch"), ["gene", "branch"])
+    return found.withColumn("module", F.when(F.col("activation") > fork_time, "late").otherwise("early"))
 
 
 def window_onsets(curve: DataFrame, key: str, windows: DataFrame, deriv_cut: float) -> DataFrame:
@@ -120,6 +132,8 @@ def slopes(rows: DataFrame, key: str, t: str, value: str) -> DataFrame:
 
 def activation_lm(expr: DataFrame, before: DataFrame, fdr_cut: float = 0.05, stf_cut: float = 0.8) -> DataFrame:
     """gene, slope, pre_pval, pre_fdr, prefork_signi, module, over the cells before the fork (cell, t)."""
-    rows = per_feature(expr, before, ["t"], lambda g, f: [(g, *(float(v) for v in num.ols(f["t"].to_numpy(), f["y"].to_numpy())))], "gene string, slope double, pre_pval double")
+    lines = Features(expr, before.withColumn("_all", F.lit("")), "_all", 0)
+    keys = lines.keys
+    rows = lines.fits(lambda by: line_sums(keys[""], *by[""]) if keys else (float("nan"), float("nan")), "slope double, pre_pval double")
     rows = bonferroni_over(rows.fillna(1.0, ["pre_pval"]), "pre_pval", "pre_fdr", expr).withColumn("prefork_signi", (F.col("pre_fdr") < fdr_cut).cast("double"))
     return rows.withColumn("module", F.when((F.col("slope") > 0) & (F.col("prefork_signi") > stf_cut), "early").otherwise("late"))

@@ -214,3 +214,36 @@ def test_elastic_graph_measures_all_candidates(spark, fork_data, monkeypatch):
     monkeypatch.setattr(fit, "_hard_sums", lambda reps, fs, radius: measured.append(len(fs)) or sums(reps, fs, radius))
     g = fit.elastic_graph(cells, 5, "tree", at_once=3)
     assert len(g.degree) == 5 and sum(measured[3:]) == 2 * sum(seen)
+
+
+def test_fits_by_sums_equal_fits_of_all_rows(spark):
+    """Sums over sparse rows give what a fit of every cell's value gives, for both kinds of model."""
+    from ramify.functions.splines import anova_p, gam, group_gam
+    from ramify.operators.features import Features, collected, gam_sums
+
+    rng = np.random.default_rng(9)
+    n = 400
+    t, g = rng.random(n), rng.integers(0, 2, n)
+    y = np.where(rng.random(n) < 0.6, np.sin(5 * t) + 0.4 * g * t + 0.2 * rng.standard_normal(n), 0.0)
+    cells = spark.createDataFrame([(i, float(t[i]), "ab"[g[i]]) for i in range(n)], "cell long, t double, seg string")
+    expr = spark.createDataFrame([(i, "y", float(v)) for i, v in enumerate(y) if v], "cell long, gene string, value double")
+    f = Features(expr, cells, "seg", 6)
+    keys = f.keys
+    stats = f.fits(lambda by: ([v for name, key in keys.items() for v in gam_sums(key, *by[name])[1]],), "beta array<double>")
+    spans = {r["key"]: (r["low"], r["high"]) for r in f.ranges(collected(stats, list(keys), {k: v.size for k, v in keys.items()})).collect()}
+    for name, code in (("a", 0), ("b", 1)):
+        fitted = gam(t[g == code], y[g == code], 6).fitted
+        assert spans[name] == pytest.approx((fitted.min(), fitted.max()), abs=1e-6)
+    models = assoc.GroupModels(Features(expr, cells, "seg", 5, common=True).keys)
+    common = Features(expr, cells, "seg", 5, common=True)
+    p = common.fits(lambda by: (models.fit(by)[0].p_value(1), anova_p(models.fit(by)[0], models.fit(by, own=False)[0])), "main double, inter double").first()
+    full = group_gam(t, y, g, 5)
+    assert p["main"] == pytest.approx(full.p_value(1), rel=1e-3) and p["inter"] == pytest.approx(anova_p(full, group_gam(t, y, g, 5, by=False)), rel=1e-3)
+
+
+def test_features_without_rows_on_the_cells(spark):
+    cells = spark.createDataFrame([(i, float(i), "1") for i in range(20)], "cell long, t double, seg string")
+    expr = spark.createDataFrame([(100, "elsewhere", 3.0), *((i, "here", float(i)) for i in range(20))], "cell long, gene string, value double")
+    maps = cells.select(F.lit(0).alias("map_id"), "cell", "t", "seg")
+    out = {r["gene"]: r for r in assoc.test_association(expr, maps).collect()}
+    assert out["elsewhere"]["p_val"] == 1.0 and out["elsewhere"]["A"] == 0.0 and out["here"]["A"] > 18
