@@ -41,9 +41,9 @@ class Letters:
 def gram_counts(texts: list[str], owner: np.ndarray, letters: Letters) -> tuple[np.ndarray, ...]:
     """(owner, n-gram number, count) sorted by the first two; the n-gram of each number as a
     63-bit code; which owners have letters. n-grams of equal owners add up."""
-    joined = "\n".join(texts) + "\n"
+    joined = "\n" + "\n".join(texts) + "\n"  # a word edge before the first text as before any other
     points = letters(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32))
-    who = np.repeat(owner, [len(t) + 1 for t in texts])
+    who = np.repeat(np.r_[owner[:1], owner], [1, *(len(t) + 1 for t in texts)])
     keep = points != 0
     keep |= np.r_[True, keep[:-1]]  # one space for each gap
     points, who = points[keep], who[keep]
