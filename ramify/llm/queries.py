@@ -13,7 +13,7 @@ from ramify.llm.exact_dedup import exact_groups, normalised
 from ramify.llm.hmm_lm import language_model_scores
 from ramify.llm.langid import held_out, learn_profiles, with_language
 from ramify.llm.quality import quality_scores
-from ramify.llm.secrets import KINDS, LIVE, scanned, span_text
+from ramify.llm.secrets import KINDS, LIVE, MIN_LENGTH, scanned, span_text
 from ramify.llm.sharding import bounded_load_shards
 from ramify.llm.simhash import near_duplicates, with_fingerprints
 from ramify.llm.suffix_dedup import text_keys, without_repeats
@@ -163,7 +163,60 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_ring_shards, op2_suffix_dedup, op3_benchmark_decontamination, op4_quality_cotraining, op5_simhash_pivots, op6_secret_ownership, op7_exact_dedup, op8_language_profiles, op9_hmm_scores, op10_bpe)
 }
 
+def _secret_sql(kind: str, order: int, pattern: str, group: int, least: int) -> str:
+    """Matches of a kind: the text is cut at marks around each, so every second part is one."""
+    quoted = pattern.replace("'", "''")
+    return f"""SELECT row, owner, repo, {order} AS o, '{kind}' AS kind, start, start + length(part) AS stop, value FROM (
+        SELECT row, owner, repo, i, part, coalesce(sum(length(part)) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+               regexp_extract(part, '{quoted}', {group}) AS value
+        FROM (SELECT row, owner, repo, unnest(p) AS part, generate_subscripts(p, 1) AS i
+              FROM (SELECT row, owner, repo, string_split(regexp_replace(t, '{quoted}', chr(57344) || '\\0' || chr(57344), 'g'), chr(57344)) AS p FROM d)))
+      WHERE i % 2 = 0 AND length(value) >= {least}"""
+
+
+_WORD_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLES: dict[str, str] = {
+    "op2_suffix_dedup": """
+        WITH d AS (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+             p AS (SELECT row, j, substr(x, 2048 * j + 1, 2048 + 798) AS y FROM (SELECT row, x, unnest(range(0, len(x) // 2048 + 1)) AS j FROM d WHERE len(x) >= 800)),
+             w AS (SELECT row, 1024 * j + k AS k, md5(substr(y, 2 * k + 1, 800)) AS h FROM (SELECT row, j, y, unnest(range(0, least(1024, len(y) // 2 - 399))) AS k FROM p)),
+             hit AS (SELECT row, k FROM w SEMI JOIN (SELECT h FROM w GROUP BY h HAVING count(*) > 1) often USING (h)),
+             marked AS (SELECT row, k, CASE WHEN k > lag(k) OVER (PARTITION BY row ORDER BY k) + 400 THEN 1 ELSE 0 END AS new FROM hit),
+             runs AS (SELECT row, min(k) AS a, max(k) + 400 AS b FROM (SELECT row, k, sum(new) OVER (PARTITION BY row ORDER BY k) AS g FROM marked) GROUP BY row, g),
+             cut AS (SELECT row, a, b, lag(b, 1, 0) OVER (PARTITION BY row ORDER BY a) AS z FROM runs),
+             kept AS (SELECT row, string_agg(substr(x, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS y,
+                             CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM cut JOIN d USING (row) GROUP BY row)
+        SELECT doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(y, x))) AS kept_sha256,
+               len(x) // 2 - coalesce(n_removed, 0) AS n_kept, coalesce(n_removed, 0) > 0 AS repeated
+        FROM d LEFT JOIN kept USING (row)""",
+    "op3_benchmark_decontamination": f"""
+        WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_WORD_SQL} AS w FROM documents),
+             b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORD_SQL} AS w FROM benchmark),
+             phrases AS (SELECT DISTINCT coalesce(item, '') AS item, least(len(w), 13) AS n, array_to_string(w[k : k + 12], ' ') AS p
+                         FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS k FROM b WHERE len(w) > 0)),
+             windows AS (SELECT row, n, k, array_to_string(w[k : k + n - 1], ' ') AS p
+                         FROM (SELECT row, n, w, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM phrases) WHERE len(w) >= n)),
+             hits AS (SELECT row, windows.n, k, item FROM windows JOIN phrases ON windows.n = phrases.n AND windows.p = phrases.p),
+             words AS (SELECT row, count(DISTINCT x) AS n_hit FROM (SELECT row, unnest(range(k, k + n)) AS x FROM (SELECT DISTINCT row, n, k FROM hits)) GROUP BY row),
+             items AS (SELECT row, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS listed FROM hits GROUP BY row)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN words USING (row) LEFT JOIN items USING (row)""",
+    "op6_secret_ownership": f"""
+        WITH d AS (SELECT row_number() OVER () AS row, doc_id, translate(coalesce(text, ''), chr(57344), chr(1)) AS t, coalesce(source, chr(0)) AS owner,
+                          coalesce(source, '') || '/' || coalesce(lang, '') AS repo FROM documents),
+             base AS ({" UNION ALL ".join(_secret_sql(k, i, KINDS[k], 2 if k == "assign" else 0, MIN_LENGTH[k]) for i, k in enumerate(KINDS))}),
+             rare AS (SELECT value FROM base GROUP BY value HAVING count(DISTINCT owner) <= 2 AND count(DISTINCT repo) <= 4),
+             live AS (SELECT DISTINCT row, {len(KINDS)} AS o, '{LIVE}' AS kind, stop - length(value) AS start, stop, value FROM base SEMI JOIN rare USING (value)
+                      WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND len(list_distinct(string_split(value, ''))) >= 8),
+             own AS (SELECT row, count(*) FILTER (o = 0) AS n_assign, count(*) FILTER (o = 1) AS n_access, count(*) FILTER (o = 2) AS n_hex,
+                            string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, o, stop) AS listed FROM base GROUP BY row),
+             every AS (SELECT row, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, o, stop) AS spans
+                       FROM (SELECT row, o, kind, start, stop FROM base UNION ALL SELECT row, o, kind, start, stop FROM live) GROUP BY row)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(listed, '')) AS base_sha256,
+               coalesce(spans, '') AS spans
+        FROM d LEFT JOIN own USING (row) LEFT JOIN every USING (row)""",
     "op7_exact_dedup": r"""
         WITH d AS (SELECT doc_id, coalesce(length(text), 0) AS n,
                           regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm FROM documents),

@@ -421,6 +421,136 @@ def test_pipeline_empty(spark, empty):
     assert corpus_pipeline.run(spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("name", list(q.ORACLES))
+@pytest.mark.parametrize("which", ["small", "/root/testdata/sf0.001"])
+def test_same_as_sql(spark, small, name, which):
+    import duckdb
+
+    d = small[0] if which == "small" else which
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{d}/{t}.parquet{'/*.parquet' if which == 'small' else ''}')")
+    rows = lambda df: sorted(map(tuple, df[sorted(df.columns)].astype(str).itertuples(index=False)))
+    want, out = con.execute(q.ORACLES[name]).fetchdf(), q.QUERIES[name](spark, d).toPandas()
+    assert sorted(out.columns) == sorted(want.columns) and rows(out) == rows(want)
+
+
+def test_language_by_plain_out_of_place(spark):
+    """Profiles and distances by loops over whole texts of a small table."""
+    import zlib
+    from collections import Counter
+
+    docs = pd.read_parquet("/root/testdata/sf0.001/documents.parquet")[["doc_id", "text", "lang"]].head(80)
+
+    def grams(text):
+        runs = "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in text).split()
+        out = Counter()
+        for r in runs:
+            padded = f" {r} "
+            out.update(r)
+            out.update(padded[i : i + 2] for i in range(len(r) + 1))
+            out.update(padded[i : i + 3] for i in range(len(r)))
+        return out
+
+    def code(g):  # ties go by code: shorter ones first, an edge before any letter
+        parts = [0 if c == " " else ord(c) for c in g]
+        return (*[0] * (3 - len(parts)), *parts, len(g) == 2)
+
+    def profile(counts):
+        return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], code(x[0])))[:300]]
+
+    learned = {}
+    for i, text, lang in docs.itertuples(index=False):
+        if text is not None and lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            learned.setdefault(lang, Counter()).update(grams(text))
+    ranks = {lang: {g: r for r, g in enumerate(profile(c))} for lang, c in learned.items()}
+    want = []
+    for i, text, _ in docs.itertuples(index=False):
+        mine = profile(grams(text or ""))
+        far = {lang: sum(abs(r - p[g]) if g in p else 300 for r, g in enumerate(mine)) for lang, p in ranks.items()}
+        best = min(sorted(far), key=far.get)
+        want.append((i, best, round(1 - far[best] / (300 * len(mine)), 9)) if mine else (i, "und", 0.0))
+    from ramify.llm.langid import held_out, learn_profiles, with_language
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(docs)
+    out = with_language(df, "text", learn_profiles(df.where(~held_out(F.col("doc_id"), 4)), "text", "lang")).toPandas()
+    assert [(a, b, round(c, 9)) for a, b, c in out[["doc_id", "lang_pred", "score"]].itertuples(index=False)] == want
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path, small):
+    """Workers that can't import the package still run the operators whose models are sent to them."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    repo = str(Path(__file__).resolve().parents[2])
+    code = f"""
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from pyspark.sql import functions as F
+import pyarrow as pa
+def there(batches):
+    import importlib.util
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([importlib.util.find_spec("ramify") is not None] * b.num_rows)], names=["x"])
+assert not any(r["x"] for r in s.range(4).mapInArrow(there, "x boolean").collect())
+from ramify.llm import queries as q
+for name in ("op9_hmm_scores", "op4_quality_cotraining", "op8_language_profiles", "op5_simhash_pivots", "op2_suffix_dedup"):
+    assert q.QUERIES[name](s, {small[0]!r}).count() == {len(small[1])}, name
+print("fine")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYTHONPATH": ""}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert "fine" in done.stdout, done.stderr[-2000:]
+
+
+def test_quality_fit_is_the_minimum_of_the_loss():
+    """Newton steps from sums reach the point that plain gradient descent on all rows reaches."""
+    import numpy as np
+
+    from ramify.llm.quality import fitted
+
+    rng = np.random.default_rng(2)
+    x, w = rng.standard_normal((200, 3)), np.ones(200)
+    y = (x @ [1.0, -2.0, 0.5] + 0.3 * rng.standard_normal(200) > 0).astype(float)
+    m = fitted(x, y, w, ridge=3.0)
+    z = np.hstack([(x - x.mean(axis=0)) / (x.std(axis=0) + 1e-3), np.ones((200, 1))])
+    beta, penalty = np.zeros(4), np.array([3.0, 3.0, 3.0, 1e-6])
+    for _ in range(20_000):
+        beta -= 0.01 * (z.T @ (1 / (1 + np.exp(-z @ beta)) - y) + penalty * beta)
+    assert np.allclose([*m.weights, m.bias], beta, atol=1e-3)
+
+
+def test_ring_places_and_overflow_by_hand():
+    """Every row of a cell goes to the next point clockwise that has room, in order of the points."""
+    from ramify.llm.sharding import bounded_plan, capacities, ring_points
+
+    counts = {c: 1 + c % 4 for c in range(5, 65536, 1311)}
+    points, room = ring_points(4, 3), capacities(sum(counts.values()), 4, 0.0)
+    assert sum(room) == sum(counts.values()) and max(room) - min(room) <= 1
+    used, place = [0] * 4, {}
+    waiting = [[] for _ in points]
+    for c, n in sorted(counts.items()):
+        first = next((i for i, (p, _) in enumerate(points) if p >= c), 0)
+        waiting[first] += [(c, r) for r in range(n)]
+    while any(waiting):
+        moved = [[] for _ in points]
+        for i, (_, shard) in enumerate(points):
+            for row in waiting[i]:
+                if used[shard] < room[shard]:
+                    place[row] = (shard, used[shard])
+                    used[shard] += 1
+                else:
+                    moved[(i + 1) % len(points)].append(row)
+        waiting = moved
+    plan = {(c, r): (shard, slot + r - lo) for c, lo, hi, shard, slot in bounded_plan(counts, 4, 3) for r in range(lo, hi)}
+    assert plan == place and used == room
+
+
 def test_language_accuracy_held_out(spark):
     d = "/root/testdata/sf0.01"
     docs = pd.read_parquet(f"{d}/documents.parquet")[["doc_id", "lang"]]
