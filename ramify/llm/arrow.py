@@ -7,6 +7,7 @@ default; every operator that sends texts to Python calls it.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,6 +25,15 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on when their task ends."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int, max_rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds about ``max_bytes`` at most (one row may exceed it)."""
     for batch in batches:
@@ -34,6 +44,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int, max_r
             n = max(1, int(np.searchsorted(ahead, max_bytes, side="right")))
             yield batch.slice(start, n)
             start += n
+    give_back()
 
 
 def gathered(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ramify.llm.arrow import binary, slices, small_batches
+from ramify.llm.arrow import binary, give_back, slices, small_batches
 from ramify.scratch import saved_by
 
 
@@ -134,6 +134,8 @@ def _encode(ranks, pattern: str):
                 flat = np.fromiter((i for p in pieces for i in p), np.uint32)
                 out.append(packed(np.fromiter(map(len, pieces), np.uint32, n), flat))
             yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("n"), batch.column("numbers"), binary(out)], names=["of", "n", "numbers", "ids"])
+        known.clear()
+        give_back()
 
     return run
 
@@ -171,12 +173,13 @@ def _assemble(ranks, carried: pa.Schema):
                 mine_docs = docs.slice(done, i + 1 - done)
                 parts += pa.table([cols[f.name] if f.name in cols else mine_docs[f.name] for f in schema], schema=schema).to_batches()
                 done, n_tokens, token_ids, decoded, held = i + 1, [], [], [], 0
+        give_back()
         return pa.Table.from_batches(parts, schema)
 
     return run
 
 
-def encoded(df: DataFrame, text_col: str, keep: list[str], ranks: dict[bytes, int], pattern: str, chunk_chars: int = 8_000_000, buckets: int | None = None) -> DataFrame:
+def encoded(df: DataFrame, text_col: str, keep: list[str], ranks: dict[bytes, int], pattern: str, chunk_chars: int = 16_000_000, buckets: int | None = None) -> DataFrame:
     """``keep`` plus n_tokens, token_ids (little-endian unsigned 32-bit) and decoded (bytes).
 
     Null texts count as empty and give no tokens. ``chunk_chars`` bounds what one task puts

@@ -139,10 +139,11 @@ def _one_each(docs: DataFrame, found: DataFrame, best: DataFrame, mark: Callable
     """
     ids = found.groupBy("doc_id").agg(F.count("*").alias("m"))
     chosen = best.join(ids.select(F.col("doc_id").alias("_id"), "m"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("_id", "_mark", "m")
+    again = saved(chosen.where("m > 1").select("_id", F.col("_mark").alias("_best")).distinct(), "stage-repeated")  # mostly empty, and then read as such
     same = F.col("doc_id").eqNullSafe(F.col("_id"))
     once = docs.join(chosen.where("m = 1"), same, "left_semi")
-    several = mark(docs.join(chosen.where("m > 1"), same, "left_semi"))
-    marked = several.join(chosen.where("m > 1").select("_id", F.col("_mark").alias("_best")).distinct(), same & (F.col("_mark") == F.col("_best")), "left_semi")
+    several = mark(docs.join(again, same, "left_semi"))
+    marked = several.join(again, same & (F.col("_mark") == F.col("_best")), "left_semi")
     row = F.struct(*docs.columns)
     one = marked.groupBy("doc_id", "_mark").agg(F.max_by(row, F.struct(order, F.xxhash64(*docs.columns), F.hash(*docs.columns))).alias("_row"))
     return once.union(one.select("_row.*"))
