@@ -31,25 +31,25 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()) if len(column) else np.zeros((0, 0))
 
 
-def soft(x: np.ndarray, nodes: np.ndarray, sigma: float) -> np.ndarray:
+def soft(x: np.ndarray, nodes: np.ndarray, sigma: float, metric: str = "euclidean") -> np.ndarray:
     """Row-normalised exp(-distance / sigma); rows out of reach of all nodes become zero."""
-    r = np.exp(-pairwise(x.T, nodes) / sigma)
+    r = np.exp(-pairwise(x.T, nodes, metric) / sigma)
     total = r.sum(axis=1, keepdims=True)
     return np.divide(r, total, out=np.zeros_like(r), where=total > 0)
 
 
-def soft_assign(reps: DataFrame, nodes: np.ndarray, sigma: float) -> DataFrame:
+def soft_assign(reps: DataFrame, nodes: np.ndarray, sigma: float, metric: str = "euclidean") -> DataFrame:
     """``reps`` plus r, the soft assignment of each row to the nodes; map-only, nodes broadcast."""
     sent = reps.sparkSession.sparkContext.broadcast(nodes)
 
     @F.pandas_udf("array<double>")
     def assign(x: pd.Series) -> pd.Series:
-        return pd.Series(list(soft(_matrix(x), sent.value, sigma))) if len(x) else pd.Series([], dtype=object)
+        return pd.Series(list(soft(_matrix(x), sent.value, sigma, metric))) if len(x) else pd.Series([], dtype=object)
 
     return reps.withColumn("r", assign("x"))
 
 
-def _sums(reps: DataFrame, nodes: np.ndarray, sigma: float, weight: str | None) -> tuple[np.ndarray, np.ndarray]:
+def _sums(reps: DataFrame, nodes: np.ndarray, sigma: float, weight: str | None, metric: str = "euclidean") -> tuple[np.ndarray, np.ndarray]:
     """Column sums of R, and X'R; one row of K * (d + 1) numbers from each partition, added up by position."""
     sent = reps.sparkSession.sparkContext.broadcast(nodes)
     d, k = nodes.shape
@@ -59,7 +59,7 @@ def _sums(reps: DataFrame, nodes: np.ndarray, sigma: float, weight: str | None)
         for f in frames:
             if len(f):
                 x = _matrix(f["x"])
-                r = soft(x, sent.value, sigma)
+                r = soft(x, sent.value, sigma, metric)
                 if weight:
                     r = r * f[weight].to_numpy()[:, None]
                 total += np.vstack([r.sum(axis=0), x.T @ r])
@@ -83,47 +83,50 @@ def default_nodes(n: int, most: int) -> int:
     return most if 2 * n > most else max(2, n // 2)
 
 
-def tree(reps: DataFrame, n_nodes: int | None = None, sigma: float = 0.1, lam: float = 1.0, steps: int = 50, err_cut: float = 5e-3, init: np.ndarray | None = None, seed: int = 1, weight: str | None = None) -> PrincipalGraph:
-    """A soft principal tree (Mao et al. 2015): alternate soft assignment, spanning tree, and a linear solve for the nodes."""
+def tree(reps: DataFrame, n_nodes: int | None = None, sigma: float = 0.1, lam: float = 1.0, steps: int = 50, err_cut: float = 5e-3, init: np.ndarray | None = None, seed: int = 1, weight: str | None = None, metric: str = "euclidean") -> PrincipalGraph:
+    """A soft principal tree (Mao et al. 2015): alternate soft assignment, spanning tree, and a linear solve for the nodes.
+
+    ``metric`` measures rows against nodes and nodes against each other.
+    """
     reps = reps.cache()
     try:
         k = n_nodes or default_nodes(reps.count(), 2000)
         nodes = init if init is not None else starting_nodes(reps, k, seed)
         adjacency = minimum_spanning_tree(pairwise(nodes))
         for _ in range(steps):
-            mass, moved = _sums(reps, nodes, sigma, weight)
-            adjacency = minimum_spanning_tree(pairwise(nodes))
+            mass, moved = _sums(reps, nodes, sigma, weight, metric)
+            adjacency = minimum_spanning_tree(pairwise(nodes, metric=metric))
             laplace = np.diag(adjacency.sum(axis=0)) - adjacency
             new = np.linalg.solve((lam * laplace + np.diag(mass + 1e-12)).T, moved.T).T
             gap = np.abs(new - nodes).max() / max(1e-12, np.abs(nodes).max())
             nodes = new
             if gap < err_cut:
                 break
-        return PrincipalGraph(minimum_spanning_tree(pairwise(nodes)), nodes, "ppt", sigma, lam)
+        return PrincipalGraph(minimum_spanning_tree(pairwise(nodes, metric=metric)), nodes, "ppt", sigma, lam)
     finally:
         reps.unpersist()
 
 
-def explore_sigma(reps: DataFrame, n_nodes: int, sigmas: list[float], steps: int = 1, seed: int = 1, second_round: bool = False) -> tuple[float, list[tuple[float, float]]]:
+def explore_sigma(reps: DataFrame, n_nodes: int, sigmas: list[float], steps: int = 1, seed: int = 1, second_round: bool = False, metric: str = "euclidean") -> tuple[float, list[tuple[float, float]]]:
     """Mean distance to the nearest node for each sigma, and the sigma at the knee of that curve."""
     start, found = starting_nodes(reps, n_nodes, seed), []
     for sigma in sigmas:
-        g = tree(reps, n_nodes, sigma=sigma, steps=steps, init=start)
-        found.append((sigma, mean_gap(reps, g.nodes)))
+        g = tree(reps, n_nodes, sigma=sigma, steps=steps, init=start, metric=metric)
+        found.append((sigma, mean_gap(reps, g.nodes, metric)))
     best = knee([s for s, _ in found], [v for _, v in found])
     if second_round:
-        more = explore_sigma(reps, n_nodes, list(np.linspace(best, best / 5, 5)), steps, seed)
+        more = explore_sigma(reps, n_nodes, list(np.linspace(best, best / 5, 5)), steps, seed, metric=metric)
         return more[0], found + more[1]
     return best, found
 
 
-def mean_gap(reps: DataFrame, nodes: np.ndarray) -> float:
+def mean_gap(reps: DataFrame, nodes: np.ndarray, metric: str = "euclidean") -> float:
     """Mean distance to the nearest node."""
     sent = reps.sparkSession.sparkContext.broadcast(nodes)
 
     @F.pandas_udf("double")
     def near(x: pd.Series) -> pd.Series:
-        return pd.Series(pairwise(_matrix(x).T, sent.value).min(axis=1)) if len(x) else pd.Series([], dtype=float)
+        return pd.Series(pairwise(_matrix(x).T, sent.value, metric).min(axis=1)) if len(x) else pd.Series([], dtype=float)
 
     return reps.select(near("x").alias("d")).agg(F.avg("d")).first()[0] or 0.0
 
@@ -219,10 +222,10 @@ def _grown(adjacency: np.ndarray, nodes: np.ndarray, kind: str) -> list[tuple[np
     return out
 
 
-def elastic_graph(reps: DataFrame, n_nodes: int, kind: str = "tree", lam: float = 0.01, mu: float = 0.1, radius: float = float("inf"), seed: int = 1, refine: int = 3, at_once: int = 32) -> PrincipalGraph:
+def elastic_graph(reps: DataFrame, n_nodes: int, kind: str = "tree", lam: float = 0.01, mu: float = 0.1, radius: float = float("inf"), seed: int = 1, refine: int = 3, at_once: int = 32, extend: bool = False) -> PrincipalGraph:
     """An elastic graph (Albergante et al. 2020): of all graphs with one node more keep the one with the least energy.
 
-    All candidates of a round are measured, ``at_once`` of them in a job.
+    All candidates of a round are measured, ``at_once`` of them in a job. ``extend`` adds a node beyond each tip.
     """
     reps = reps.cache()
     try:
@@ -247,11 +250,44 @@ def elastic_graph(reps: DataFrame, n_nodes: int, kind: str = "tree", lam: float
                 scored = _hard_sums(reps, moved, radius)
                 found += [(s[2] / n + float(np.trace(f @ _elastic(b, lam, mu) @ f.T)), b, f) for (b, _), f, s in zip(some, moved, scored, strict=True)]
             _, adjacency, nodes = min(found, key=lambda x: x[0])
-        return PrincipalGraph(adjacency, nodes, "epg", lam=lam)
+        graph = PrincipalGraph(adjacency, nodes, "epg", lam=lam)
+        return extend_leaves(reps, graph) if extend else graph
     finally:
         reps.unpersist()
 
 
+def extend_leaves(reps: DataFrame, graph: PrincipalGraph, share: float = 0.5) -> PrincipalGraph:
+    """A node more beyond each tip that has rows there, on the line of the tip's edge.
+
+    Of the rows that are nearest to the tip and beyond it along that line, the new node stands at
+    the quantile ``share`` of how far they reach; a row per tip reaches the driver.
+    """
+    tips = [(v, int(np.flatnonzero(graph.adjacency[v])[0])) for v in graph.tips]
+    ways = {v: graph.nodes[:, v] - graph.nodes[:, u] for v, u in tips}
+    sent = reps.sparkSession.sparkContext.broadcast((graph.nodes, ways))
+
+    def beyond(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nodes, way = sent.value
+        for f in frames:
+            if len(f):
+                x = _matrix(f["x"])
+                near = pairwise(x.T, nodes).argmin(axis=1)
+                for v, w in way.items():
+                    far = (x[near == v] - nodes[:, v]) @ w / max(1e-12, float(np.sqrt(w @ w)))
+                    yield pd.DataFrame({"tip": v, "far": far[far > 0]})
+
+    rows = reps.select("x").mapInPandas(beyond, "tip int, far double").groupBy("tip").agg(F.percentile("far", F.lit(share)).alias("far")).collect()
+    reach = {r["tip"]: r["far"] for r in rows}
+    adjacency, nodes = graph.adjacency, graph.nodes
+    for v, _ in tips:
+        if v in reach:
+            k, w = len(adjacency), ways[v]
+            adjacency = np.pad(adjacency, ((0, 1), (0, 1)))
+            adjacency[v, k] = adjacency[k, v] = 1
+            nodes = np.column_stack([nodes, graph.nodes[:, v] + w / max(1e-12, float(np.sqrt(w @ w))) * reach[v]])
+    return PrincipalGraph(adjacency, nodes, graph.method, graph.sigma, graph.lam)
+
+
 def edge_assign(reps: DataFrame, graph: PrincipalGraph) -> DataFrame:
     """``reps`` plus r for a hard graph: each row's weights on the two nodes of its nearest edge, the nearer one's larger."""
     sent = reps.sparkSession.sparkContext.broadcast((graph.nodes, graph.edges))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ramify.operators import assoc, cors, fit, fork, preprocess, project, relational, views
+from ramify.operators import assoc, cors, fates, fit, fork, preprocess, project, relational, views
 from ramify.plans import tables
 from ramify.plans.graph import PrincipalGraph, minimum_spanning_tree, pairwise
 
@@ -260,6 +260,29 @@ def fit_cellrank_tree(spark, sf):
     return _graph_rows(spark, fit.tree(rows, 8, sigma=1.0, lam=100, steps=5))
 
 
+def _fates(spark, sf) -> DataFrame:
+    """cell, p1, p2, time: users, shares of their clicks and of other events, and their mean time."""
+    e = tables.timeline(spark, sf).groupBy("user_id").agg(F.avg((F.col("seg") == "click").cast("double")).alias("p1"), F.avg("t").alias("time"))
+    return e.select(F.col("user_id").alias("cell"), "p1", (1 - F.col("p1")).alias("p2"), (F.col("time") / 1e5).alias("time"))
+
+
+@query()
+def fit_cellrank_rooted(spark, sf):
+    """The tree of fates in one call: rooted at the tip with the least time, whose times replace pseudotimes."""
+    cells, _ = fates.fates_tree(_fates(spark, sf), "time", ["p1", "p2"], 8, sigma=1.0, steps=5, reassign=True, root_params={"tips_only": True, "least": True})
+    return cells.select("cell", rnd("t").alias("t"), "seg")
+
+
+@query()
+def fit_tree_metric(spark, sf):
+    return _graph_rows(spark, fit.tree(tables.vectors(spark, sf), 10, sigma=SIGMA, steps=5, metric="cosine"))
+
+
+@query()
+def fit_extend_leaves(spark, sf):
+    return _graph_rows(spark, fit.elastic_graph(tables.vectors(spark, sf), 6, "curve", extend=True))
+
+
 @query()
 def fit_edge_assign(spark, sf):
     v = tables.vectors(spark, sf)

@@ -8,11 +8,26 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 
 
-def pairwise(f: np.ndarray, g: np.ndarray | None = None) -> np.ndarray:
-    """Euclidean distances between the columns of f and g."""
+METRICS = ("euclidean", "sqeuclidean", "cityblock", "manhattan", "l1", "l2", "chebyshev", "cosine", "correlation")
+
+
+def pairwise(f: np.ndarray, g: np.ndarray | None = None, metric: str = "euclidean") -> np.ndarray:
+    """Distances between the columns of f and g by one of METRICS."""
     g = f if g is None else g
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {', '.join(METRICS)}")
+    if metric in ("cityblock", "manhattan", "l1", "chebyshev"):
+        out = np.zeros((f.shape[1], g.shape[1]))
+        for a, b in zip(f, g, strict=True):  # by dimension, so that no table of all differences is made
+            gap = np.abs(a[:, None] - b[None, :])
+            out = np.maximum(out, gap) if metric == "chebyshev" else out + gap
+        return out
+    if metric in ("cosine", "correlation"):
+        f, g = (x - x.mean(axis=0) if metric == "correlation" else x for x in (f, g))
+        f, g = (np.divide(x, np.sqrt((x * x).sum(axis=0)), out=np.zeros_like(x, dtype=float), where=(x * x).sum(axis=0) > 0) for x in (f, g))
+        return np.clip(1 - f.T @ g, 0, 2)
     sq = (f * f).sum(0)[:, None] + (g * g).sum(0)[None, :] - 2 * f.T @ g
-    return np.sqrt(np.maximum(sq, 0))
+    return np.maximum(sq, 0) if metric == "sqeuclidean" else np.sqrt(np.maximum(sq, 0))
 
 
 def minimum_spanning_tree(d: np.ndarray) -> np.ndarray:

@@ -247,3 +247,42 @@ def test_features_without_rows_on_the_cells(spark):
     maps = cells.select(F.lit(0).alias("map_id"), "cell", "t", "seg")
     out = {r["gene"]: r for r in assoc.test_association(expr, maps).collect()}
     assert out["elsewhere"]["p_val"] == 1.0 and out["elsewhere"]["A"] == 0.0 and out["here"]["A"] > 18
+
+
+def test_metrics_equal_plain_ones():
+    from ramify.plans.graph import METRICS, pairwise
+
+    rng = np.random.default_rng(3)
+    f, g = rng.standard_normal((5, 4)), rng.standard_normal((5, 3))
+    unit = lambda v: v / np.linalg.norm(v)
+    plain = {
+        "euclidean": lambda a, b: np.linalg.norm(a - b), "l2": lambda a, b: np.linalg.norm(a - b), "sqeuclidean": lambda a, b: ((a - b) ** 2).sum(),
+        "chebyshev": lambda a, b: np.abs(a - b).max(), "cosine": lambda a, b: 1 - unit(a) @ unit(b), "correlation": lambda a, b: 1 - np.corrcoef(a, b)[0, 1],
+    } | dict.fromkeys(("cityblock", "manhattan", "l1"), lambda a, b: np.abs(a - b).sum())
+    for m in METRICS:
+        assert np.allclose(pairwise(f, g, m), [[plain[m](a, b) for b in g.T] for a in f.T]), m
+    with pytest.raises(ValueError, match="metric"):
+        pairwise(f, g, "other")
+
+
+def test_leaves_reach_out(spark):
+    rng = np.random.default_rng(1)
+    cells = spark.createDataFrame([(i, [float(v), 0.01 * float(rng.standard_normal())]) for i, v in enumerate(np.linspace(0, 10, 400))], "cell long, x array<double>")
+    short, long = (fit.elastic_graph(cells, 5, "curve", mu=1.0, extend=e) for e in (False, True))
+    assert len(long.degree) == 7 and len(long.tips) == 2 and np.ptp(long.nodes[0]) > np.ptp(short.nodes[0])
+    assert long.nodes[0].min() > -0.2 and long.nodes[0].max() < 10.2
+
+
+def test_fates_tree_in_one_call(spark):
+    from ramify.operators.fates import fates_tree
+
+    rng = np.random.default_rng(2)
+    rows = [(i, float(p), float(1 - p), float(t)) for i in range(200) for t in [rng.random()] for p in [np.clip(0.5 + (t * 0.5 if i % 2 else -t * 0.5), 0, 1)]]
+    fates = spark.createDataFrame(rows, "cell long, a double, b double, time double")
+    cells, g = fates_tree(fates, "time", ["a", "b"], 10, sigma=0.05, lam=1.0, steps=20, auto_root=True, root_params={"tips_only": True, "least": True})
+    got = cells.toPandas().sort_values("cell")
+    assert g.nodes[1, g.root] < 0.4 and np.corrcoef(got.t, got.time)[0, 1] > 0.8
+    again, h = fates_tree(fates, "time", ["a", "b"], 10, sigma=0.05, lam=1.0, steps=20, reassign=True, root_params={"tips_only": True, "least": True})
+    assert again.where("t != time").count() == 0 and all(s.d == pytest.approx(abs(h.time[s.end] - h.time[s.start])) for s in h.segments)
+    plain, _ = fates_tree(fates, "time", ["a", "b"], 10, sigma=0.05, lam=1.0, steps=5)
+    assert "t" not in plain.columns
