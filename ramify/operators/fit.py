@@ -302,7 +302,7 @@ def edge_assign(reps: DataFrame, graph: PrincipalGraph) -> DataFrame:
         along = b - a
         u = np.clip(((rows @ along) - (a * along).sum(axis=0)) / np.maximum(1e-12, (along * along).sum(axis=0)), 0, 1)
         gap = ((rows[:, :, None] - a[None] - u[:, None, :] * along[None]) ** 2).sum(axis=1)
-        near = gap.argmin(axis=1)
+        near = (gap <= gap.min(axis=1, keepdims=True) * (1 + 1e-9)).argmax(axis=1)  # edges that meet in the nearest point tie: the first
         d = pairwise(rows.T, nodes)
         r = np.zeros_like(d)
         ends = np.array(edges)[near]

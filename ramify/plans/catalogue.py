@@ -207,10 +207,28 @@ def fit_pairwise_nodes(spark, sf):
     return spark.createDataFrame([(a, b, round(float(d[a, b]), 6)) for a in range(len(d)) for b in range(a + 1, len(d))], "a int, b int, d double")
 
 
-@query(f"""WITH RECURSIVE {PN}, s AS (SELECT a, b, d FROM pn UNION ALL SELECT b, a, d FROM pn),
+MST = """, s AS (SELECT a, b, d FROM pn UNION ALL SELECT b, a, d FROM pn),
   mm(a, b, m, k) AS (SELECT a, b, d, 1 FROM s UNION ALL
     SELECT a, b, min(m), k FROM (SELECT mm.a, s.b, greatest(mm.m, s.d) AS m, mm.k + 1 AS k FROM mm JOIN s ON mm.b = s.a WHERE mm.k < 9 AND s.b <> mm.a) GROUP BY a, b, k),
-  best AS (SELECT a, b, min(m) AS m FROM mm GROUP BY 1, 2) SELECT pn.a, pn.b, round(pn.d, 6) AS d FROM pn JOIN best USING (a, b) WHERE pn.d <= best.m""")
+  best AS (SELECT a, b, min(m) AS m FROM mm GROUP BY 1, 2), mst AS (SELECT pn.a, pn.b, pn.d FROM pn JOIN best USING (a, b) WHERE pn.d <= best.m)"""
+# The tree rooted at its first tip: times of nodes (walk), the nearest neighbour of each.
+ROOTED = R + PN.removeprefix(V) + MST + """, ad AS (SELECT a AS u, b AS v, d FROM mst UNION ALL SELECT b, a, d FROM mst),
+  tip AS (SELECT min(u) AS root FROM (SELECT u FROM ad GROUP BY u HAVING count(*) = 1)),
+  walk(node, t, prev) AS (SELECT root, 0.0::DOUBLE, -1 FROM tip UNION ALL SELECT ad.v, walk.t + ad.d + 1e-6, walk.node FROM walk JOIN ad ON ad.u = walk.node AND ad.v <> walk.prev),
+  near AS (SELECT u AS v0, arg_min(v, d) AS v1 FROM ad GROUP BY 1)"""
+# Weights on the two nodes of each cell's nearest edge.
+EDGES = ROOTED + """, pr AS (SELECT v.cell, mst.a, mst.b, sum((v.x - p.x) * (q.x - p.x)) AS along, sum((q.x - p.x) ** 2) AS len, sum((v.x - p.x) ** 2) AS far
+    FROM v JOIN nd p ON p.dim = v.dim JOIN mst ON mst.a = p.node JOIN nd q ON q.node = mst.b AND q.dim = v.dim GROUP BY 1, 2, 3),
+  gp AS (SELECT cell, a, b, far - 2 * u * along + u * u * len AS gap FROM (SELECT *, greatest(0, least(1, along / len)) AS u FROM pr)),
+  ed AS (SELECT cell, a, b, row_number() OVER (PARTITION BY cell ORDER BY a, b) AS k FROM (SELECT *, min(gap) OVER (PARTITION BY cell) AS least FROM gp) WHERE gap <= least * (1 + 1e-9)),
+  he AS (SELECT ed.cell, ed.a, ed.b, x.d AS da, y.d AS db FROM ed JOIN dist x ON x.cell = ed.cell AND x.node = a JOIN dist y ON y.cell = ed.cell AND y.node = b WHERE k = 1),
+  hr AS (SELECT cell, a AS node, 1 - da / (da + db) AS w FROM he UNION ALL SELECT cell, b, 1 - db / (da + db) FROM he)"""
+TIMED = """, b AS (SELECT cell, arg_max(node, w) AS v0 FROM {r} GROUP BY 1),
+  pt AS (SELECT b.cell, near.v0 || '|' || near.v1 AS edge, (t0.t * x.w + t1.t * coalesce(y.w, 0)) / (x.w + coalesce(y.w, 0)) AS t FROM b JOIN near ON near.v0 = b.v0
+    JOIN {r} x ON x.cell = b.cell AND x.node = near.v0 LEFT JOIN {r} y ON y.cell = b.cell AND y.node = near.v1 JOIN walk t0 ON t0.node = near.v0 JOIN walk t1 ON t1.node = near.v1)"""
+
+
+@query(f"WITH RECURSIVE {PN}{MST} SELECT a, b, round(d, 6) AS d FROM mst")
 def fit_mst(spark, sf):
     g = fixed_graph(tables.vectors(spark, sf))
     d = pairwise(g.nodes)
@@ -283,19 +301,19 @@ def fit_extend_leaves(spark, sf):
     return _graph_rows(spark, fit.elastic_graph(tables.vectors(spark, sf), 6, "curve", extend=True))
 
 
-@query()
+@query(f"WITH RECURSIVE {EDGES} SELECT cell, CAST(node AS INTEGER) AS node, round(w, 6) AS w FROM hr WHERE w > 0")
 def fit_edge_assign(spark, sf):
     v = tables.vectors(spark, sf)
-    return fit.edge_assign(v, fixed_graph(v)).select("cell", F.posexplode("r").alias("node", "w")).where("w > 0")
+    return fit.edge_assign(v, fixed_graph(v)).select("cell", F.posexplode("r").alias("node", "w")).where("w > 0").withColumn("w", rnd("w"))
 
 
-@query()
+@query(f"WITH RECURSIVE {EDGES}{TIMED.format(r='hr')} SELECT cell, round(t, 6) + 0.0 AS t, edge FROM pt")
 def project_edges_time(spark, sf):
     """Projection onto a hard graph: weights on the two nodes of the nearest edge, then as for soft ones."""
     v = tables.vectors(spark, sf)
     g = fixed_graph(v)
     g = g.rooted(g.tips[0])
-    return project.map_cells(fit.edge_assign(v, g), g).select("cell", "t", "seg", "edge")
+    return project.map_cells(fit.edge_assign(v, g), g).select("cell", rnd("t").alias("t"), "edge")
 
 
 @query("WITH " + R + ", nv AS (SELECT node, sum(w * CAST(cell AS DOUBLE)) / sum(w) AS t FROM r GROUP BY 1) SELECT CAST(node AS INTEGER) AS node, round(t, 4) AS t FROM nv")
@@ -374,14 +392,19 @@ def project_argmax_node(spark, sf):
     return p.select("cell", F.split("edge", r"\|")[0].cast("int").alias("v0"))
 
 
-@query()
+@query(f"WITH RECURSIVE {ROOTED}{TIMED.format(r='r')} SELECT cell, edge FROM pt")
 def project_argmax_edge(spark, sf):
-    return _projected(spark, sf)[0].select("cell", "edge", "seg")
+    return _projected(spark, sf)[0].select("cell", "edge")
 
 
-@query()
+@query(f"WITH RECURSIVE {ROOTED}{TIMED.format(r='r')} SELECT cell, round(t, 6) + 0.0 AS t FROM pt")
 def project_time(spark, sf):
-    return _projected(spark, sf)[0].select("cell", "t", "milestones")
+    return _projected(spark, sf)[0].select("cell", rnd("t").alias("t"))
+
+
+@query()
+def project_segments(spark, sf):
+    return _projected(spark, sf)[0].select("cell", "seg", "milestones")
 
 
 @query()
@@ -660,12 +683,12 @@ def cov_ovr_lfc(spark, sf):
 
 
 @query(f"""WITH {M}, p AS (SELECT cell * 1000000 + CAST(floor(t / 86400) AS BIGINT) AS cell, t, seg AS branch FROM m)
-  SELECT cell, round(t, 4) AS t, branch FROM (SELECT *, count(*) OVER (PARTITION BY cell) AS n FROM (SELECT cell, branch, min(t) AS t FROM p GROUP BY 1, 2)) WHERE n = 1""")
+  SELECT cell, round(t, 6) AS t, branch FROM (SELECT *, count(*) OVER (PARTITION BY cell) AS n FROM (SELECT cell, branch, min(t) AS t FROM p GROUP BY 1, 2)) WHERE n = 1""")
 def fork_unique_cells(spark, sf):
     """A cell is a user's day: some days are on one branch only, others on several."""
     day = F.col("cell") * 1_000_000 + F.floor(F.col("t") / 86400)
     p = tables.mappings(spark, sf).groupBy(day.alias("cell"), F.col("seg").alias("branch")).agg(F.min("t").alias("t"))
-    return fork.branch_cells(p).select("cell", rnd("t", 4).alias("t"), "branch")
+    return fork.branch_cells(p).select("cell", rnd("t").alias("t"), "branch")
 
 
 @query(f"WITH {E} SELECT cell, round((t - min(t) OVER (PARTITION BY seg)) / (max(t) OVER (PARTITION BY seg) - min(t) OVER (PARTITION BY seg)), 6) AS t, seg AS branch FROM e")
@@ -793,12 +816,15 @@ def slide_weighted_corr(spark, sf):
     return cors.weighted_correlations(ranks, w).withColumn("r", rnd("r"))
 
 
-@query()
+@query(f"""WITH {DC}, rk AS (SELECT cell, gene, rank() OVER (PARTITION BY gene ORDER BY value) + (count(*) OVER (PARTITION BY gene, value) - 1) / 2.0 AS x FROM de),
+  z AS (SELECT cell, gene, CAST(cell % 3 AS INTEGER) AS win, x - avg(x) OVER (PARTITION BY CAST(cell % 3 AS INTEGER), gene) AS z FROM rk),
+  r AS (SELECT a.win, a.gene AS a, b.gene AS b, sum(a.z * b.z) / sqrt(sum(a.z * a.z) * sum(b.z * b.z)) AS r FROM z a JOIN z b ON a.cell = b.cell AND a.gene <> b.gene GROUP BY 1, 2, 3)
+  SELECT win AS "window", a AS gene, CASE WHEN b < 'Brand#13' THEN 'A' ELSE 'B' END AS geneset, round(avg(r), 6) + 0.0 AS cor FROM r GROUP BY 1, 2, 3""")
 def slide_cors(spark, sf):
     dense = _dense(spark, sf)
     w = dense.select("cell").distinct().select("cell", (F.col("cell") % 3).cast("int").alias("window"), F.lit(1.0).alias("w"))
     sets = dense.select("gene").distinct().withColumn("geneset", F.when(F.col("gene") < "Brand#13", "A").otherwise("B"))
-    return cors.slide_cors(dense, w, sets)
+    return cors.slide_cors(dense, w, sets).withColumn("cor", rnd("cor"))
 
 
 SW = E + """, i AS (SELECT *, row_number() OVER (PARTITION BY seg ORDER BY t, cell) - 1 AS i, count(*) OVER (PARTITION BY seg) AS n FROM e),
