@@ -55,5 +55,10 @@ def saved_by(df: DataFrame, label: str, column: str, buckets: int, sort_of_codec
 
 def cleanup(spark: SparkSession) -> None:
     """Delete this application's intermediate tables; results not yet written become unreadable."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(app_dir(spark))
+    remove(spark, app_dir(spark))
+
+
+def remove(spark: SparkSession, where: str) -> None:
+    """Delete a folder, wherever Spark can reach it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
