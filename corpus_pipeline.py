@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from ramify.llm.queries import stage_benchmark, stage_exact, stage_language, stage_near, stage_tokens, table
-from ramify.scratch import app_dir
+from ramify.scratch import app_dir, remove
 
 STAGES = [
     ("language_id", stage_language),
@@ -29,9 +29,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     any id within a group. An empty table gives an empty result; extra columns are carried up to the
     last stage and never clash with the operators' own, except those that begin with an underscore.
     """
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = f"{app_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:  # what the stage has read is no longer needed, as its own table is whole
+            remove(spark, before)
+        before = path
     return docs

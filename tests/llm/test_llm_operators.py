@@ -415,6 +415,17 @@ def test_pipeline_awkward_ids(spark, small, tmp_path, case):
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["decoded_sha256"]) for r in out) == piped(have)
 
 
+def test_pipeline_leaves_only_its_last_table(spark, small):
+    import corpus_pipeline
+    from pathlib import Path
+    from ramify.scratch import app_dir
+
+    held = lambda: {p.name for p in Path(app_dir(spark).removeprefix("file:")).glob("pipeline-*")}
+    had = held()
+    out = corpus_pipeline.run(spark, small[0])
+    assert out.count() > 0 and [n.rsplit("-", 1)[0] for n in held() - had] == [f"pipeline-{corpus_pipeline.STAGES[-1][0]}"]
+
+
 def test_pipeline_empty(spark, empty):
     import corpus_pipeline
 
