@@ -285,7 +285,7 @@ def _fates(spark, sf) -> DataFrame:
 
 
 @query()
-def fit_cellrank_rooted(spark, sf):
+def fit_fates_rooted(spark, sf):
     """The tree of fates in one call: rooted at the tip with the least time, whose times replace pseudotimes."""
     cells, _ = fates.fates_tree(_fates(spark, sf), "time", ["p1", "p2"], 8, sigma=1.0, steps=5, reassign=True, root_params={"tips_only": True, "least": True})
     return cells.select("cell", rnd("t").alias("t"), "seg")
