@@ -973,10 +973,10 @@ def view_incl_cdf(spark, sf):
 
 
 @query(f"""WITH {ST}, f AS (SELECT gene, A, CASE WHEN fdr < 0.004 THEN 0 ELSE fdr END AS fdr FROM st WHERE map_id = 0)
-  SELECT gene, round(A, 4) AS A, round(CASE WHEN fdr = 0 THEN (SELECT min(fdr) FROM f WHERE fdr > 0) ELSE fdr END, 8) AS fdr FROM f""")
+  SELECT gene, round(A, 4) AS A, round(CASE WHEN fdr = 0 THEN (SELECT min(fdr) FROM f WHERE fdr > 0) ELSE fdr END, 11) AS fdr FROM f""")
 def view_fdr_floor(spark, sf):
     s = _stats(spark, sf).where("map_id = 0").withColumn("fdr", F.when(F.col("fdr") < 0.004, 0.0).otherwise(F.col("fdr"))).withColumn("signi", F.lit(True))
-    return views.association_points(s).select("gene", rnd("A", 4).alias("A"), rnd("fdr", 8).alias("fdr"))
+    return views.association_points(s).select("gene", rnd("A", 4).alias("A"), rnd("fdr", 11).alias("fdr"))
 
 
 @query()
