@@ -109,7 +109,8 @@ class Features:
         """gene and what ``kernel`` makes of each key's sums of a feature: with the key's columns, and of its squares."""
         keys, width = self.keys, self.width
         y = self.expr.select("cell", "gene", "value").repartition("cell").groupBy("cell", "gene").agg(F.sum("value").alias("y"))
-        sums = y.join(self.designed, "cell").groupBy("gene", "key").agg(F.sum(F.col("y") * F.col("y")).alias("yy"), *[F.sum(F.col("y") * F.get("x", F.lit(i))).alias(f"s{i}") for i in range(width)])
+        designed = self.designed.hint("merge")  # never broadcast: its file may be small, but it has a row a cell
+        sums = y.join(designed, "cell").groupBy("gene", "key").agg(F.sum(F.col("y") * F.col("y")).alias("yy"), *[F.sum(F.col("y") * F.get("x", F.lit(i))).alias(f"s{i}") for i in range(width)])
         one = F.struct("key", "yy", F.array(*[f"s{i}" for i in range(width)]).alias("xy"))
         rows = self.expr.select("gene").distinct().join(sums.groupBy("gene").agg(F.collect_list(one).alias("sums")), "gene", "left")
         names = ["gene", *[c.split()[0] for c in schema.split(", ")]]

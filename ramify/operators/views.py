@@ -104,7 +104,7 @@ def mean_trajectory(fitted: DataFrame, cells: DataFrame, n: int = 50) -> DataFra
     """seg, bin, value: mean of all features over bins of t."""
     span = cells.groupBy("seg").agg(F.min("t").alias("_a"), F.max("t").alias("_b"))
     rows = cells.join(F.broadcast(span), "seg").withColumn("bin", equal_width_bin(F.col("t"), F.col("_a"), F.col("_b"), n))
-    return rows.join(fitted, "cell").groupBy("seg", "bin").agg(F.avg("fitted").alias("value"))
+    return rows.hint("merge").join(fitted, "cell").groupBy("seg", "bin").agg(F.avg("fitted").alias("value"))  # a row a cell is too much to broadcast
 
 
 def top_features(stats: DataFrame, by: str, n: int, least: bool = False) -> DataFrame:

@@ -1,11 +1,14 @@
 """Every catalogue query with SQL gives the same rows in DuckDB, at the smallest scale."""
 
 import math
+import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from ramify.operators.features import Features
 from ramify.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -80,3 +83,15 @@ def test_trends_of_all_features(spark, monkeypatch):
     seen, smooth = [], catalogue.assoc.fit_features
     monkeypatch.setattr(catalogue.assoc, "fit_features", lambda expr, *a, **k: seen.append(expr.select("gene").distinct().count()) or smooth(expr, *a, **k))
     assert catalogue.QUERIES["view_trends"](spark, SF).count() > 0 and seen == [25]
+
+
+def test_a_row_a_cell_is_never_broadcast(spark):
+    def keys(df):
+        return re.findall(r"BroadcastHashJoin \[(\w+)#", df._jdf.queryExecution().executedPlan().toString())
+
+    cells, expr = catalogue._cells_and_expr(spark, SF)
+    paths = cells.withColumn("branch", F.col("seg"))
+    fits = Features(expr, paths, "branch", 6).fits(lambda by: (0.0,), "x double")
+    fitted = expr.select("cell", "gene", F.col("value").alias("fitted"))
+    assert not keys(catalogue.tables.counts(spark, SF))
+    assert "cell" not in keys(fits) + keys(catalogue.views.mean_trajectory(fitted, cells, 10))
