@@ -100,6 +100,22 @@ def test_suffix_dedup_parts(spark, small, part_classes):
     assert (found.groupby("repeat").size() > 1).all()  # every repeat comes with all its occurrences
 
 
+def test_suffix_dedup_places_of_a_repeated_line_are_one_row(spark):
+    from pyspark.sql import functions as F
+
+    from ramify.llm.suffix_dedup import text_keys, without_repeats
+
+    rng = random.Random(9)
+    line = "".join(rng.choice("abcd ") for _ in range(430))
+    rows = [(line + str(i) * (i % 3)) * 20 + "".join(rng.choice("xyz") for _ in range(50)) for i in range(12)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    kept = without_repeats(docs, "text", 400, 1, 2)
+    assert "Generate" not in kept._jdf.queryExecution().executedPlan().toString()
+    out = text_keys(docs, "doc_id", "text").join(kept, ["k1", "k2"])
+    out = out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("s")).toPandas().sort_values("doc_id")
+    assert [tuple(r) for r in out.iloc[:, 1:].itertuples(index=False)] == brute.suffix_dedup(rows, 400)
+
+
 def test_anchors_of_a_very_long_text():
     import numpy as np
 
