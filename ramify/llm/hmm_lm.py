@@ -14,8 +14,10 @@ tokens (1 / share of them at most) are sent to all tasks, the rest are joined.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass, field
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,35 +37,35 @@ SEGMENT = 128
 
 
 def tokens(text: bytes) -> list[bytes]:
-    return [*text.lower().split(), END]
+    words = text.lower().split()
+    words.append(END)
+    return words
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word) - (1 << 63)
+def word_hashes(words: Collection[bytes]) -> np.ndarray:
+    """Signed 64-bit hash of each word."""
+    return (np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) ^ np.uint64(1 << 63)).view(np.int64)
 
 
-def suffix_class(word: bytes) -> int:
-    return zlib.crc32(word[-3:]) % SUFFIX_CLASSES
+def suffix_classes(words: Collection[bytes]) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w[-3:]) for w in words), np.int64, len(words)) % SUFFIX_CLASSES
 
 
 def word_counts(df: DataFrame, text_col: str, flush: int = 600_000) -> DataFrame:
     """(h, suffix, c): counts of all tokens of ``df`` by 64-bit hash of the word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(words: dict[bytes, int], counts: np.ndarray) -> pa.RecordBatch:
-            cols = [np.fromiter(map(f, words), np.int64, len(words)) for f in (word_hash, suffix_class)]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1].astype(np.int32)), pa.array(counts[: len(words)])], names=["h", "suffix", "c"])
+        def rows(words: Counter[bytes]) -> pa.RecordBatch:
+            counts = np.fromiter(words.values(), np.int64, len(words))
+            return pa.RecordBatch.from_arrays([pa.array(word_hashes(words)), pa.array(suffix_classes(words).astype(np.int32)), pa.array(counts)], names=["h", "suffix", "c"])
 
-        words, counts = Numbering(), np.zeros(0, np.int64)
+        words: Counter[bytes] = Counter()
         for batch in slices(batches, text_col, 1 << 20):
-            ids = [np.fromiter(map(words.__getitem__, t), np.int64, len(t)) for t in map(tokens, as_bytes(batch.column(0)))]
-            more = np.bincount(np.concatenate(ids), minlength=len(counts)) if ids else counts
-            more[: len(counts)] += counts
-            counts = more
+            words.update(chain.from_iterable(map(tokens, as_bytes(batch.column(0)))))
             if len(words) > flush:
-                yield rows(words, counts)
-                words, counts = Numbering(), np.zeros(0, np.int64)
-        yield rows(words, counts)
+                yield rows(words)
+                words = Counter()
+        yield rows(words)
 
     return df.select(text_col).mapInArrow(run, "h long, suffix int, c long").groupBy("h", "suffix").agg(F.sum("c").alias("c"))
 
@@ -108,6 +110,12 @@ def vocabulary(counts: DataFrame, share: float) -> Vocabulary:
     return Vocabulary(total, distinct, hashes, held, single, np.log10(sums))
 
 
+def packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of ``values`` as a row for each pair of neighbours in ``ends``."""
+    offsets = pa.array(ends * values.itemsize, type=pa.int64())
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, offsets.buffers()[1], pa.py_buffer(values.tobytes())]).cast(pa.binary())
+
+
 def class_sequences(df: DataFrame, id_col: str, text_col: str, held_col: str, sent) -> DataFrame:
     """Per row: its class sequence, sums over its frequent words, and hashes of the other words."""
     kind = df.schema[id_col].dataType.simpleString()
@@ -118,24 +126,25 @@ def class_sequences(df: DataFrame, id_col: str, text_col: str, held_col: str, se
         words = Numbering()
         cls, log_c, hashes = np.zeros(0, np.uint16), np.zeros(0), np.zeros(0, np.int64)
         for batch in slices(batches, text_col, 1 << 20):
-            ids = [np.fromiter(map(words.__getitem__, t), np.int64, len(t)) for t in map(tokens, as_bytes(batch.column(text_col)))]
-            new = list(words)[len(cls) :] if len(words) > len(cls) else []
-            h = np.fromiter(map(word_hash, new), np.int64, len(new))
+            texts = [tokens(t) for t in as_bytes(batch.column(text_col))]
+            ends = np.cumsum([0, *map(len, texts)])
+            ids = np.fromiter(map(words.__getitem__, chain.from_iterable(texts)), np.int64, ends[-1])
+            new = list(islice(words, len(cls), None))
+            h = word_hashes(new)
             hashes = np.concatenate([hashes, h])
             if new:
                 at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
                 there = known[at] == h if len(known) else np.zeros(len(h), bool)
                 own = np.where(there, single[at], -1) if len(known) else np.full(len(h), -1)
-                cls = np.concatenate([cls, np.where(own >= 0, own, SINGLE_CLASSES + np.fromiter(map(suffix_class, new), np.int64, len(new))).astype(np.uint16)])
+                cls = np.concatenate([cls, np.where(own >= 0, own, SINGLE_CLASSES + suffix_classes(new)).astype(np.uint16)])
                 log_c = np.concatenate([log_c, np.where(there, np.log10(held[at] + 1.0), np.nan) if len(known) else np.full(len(h), np.nan)])
-            cols: list[list] = [[] for _ in range(5)]
-            for k in ids:
-                mine = log_c[k]
-                rare = np.isnan(mine)
-                for c, value in zip(cols, (len(k), int(len(k) - rare.sum()), float(np.nansum(mine)), cls[k].tobytes(), hashes[k[rare]].tobytes()), strict=True):
-                    c.append(value)
+            mine = log_c[ids]
+            rare = np.isnan(mine)
+            rare_ends = np.concatenate([[0], np.cumsum(rare)])[ends]
+            n_tokens = np.diff(ends)
+            held_sums = np.add.reduceat(np.where(rare, 0.0, mine), ends[:-1])  # every text has its end
             n = batch.num_rows
-            arrays = [pa.array(range(row, row + n), type=pa.int64()), batch.column(id_col), batch.column(held_col), pa.array(cols[0], type=pa.int64()), pa.array(cols[1], type=pa.int64()), pa.array(cols[2], type=pa.float64()), binary(cols[3]), binary(cols[4])]
+            arrays = [pa.array(range(row, row + n), type=pa.int64()), batch.column(id_col), batch.column(held_col), pa.array(n_tokens), pa.array(n_tokens - np.diff(rare_ends)), pa.array(held_sums), packed(cls[ids], ends), packed(hashes[ids[rare]], rare_ends)]
             yield pa.RecordBatch.from_arrays(arrays, names=["row", "id", "held_out", "n_tokens", "frequent", "log_c", "classes", "rare"])
             row += n
             if len(words) > 500_000:
@@ -145,16 +154,57 @@ def class_sequences(df: DataFrame, id_col: str, text_col: str, held_col: str, se
     return df.select(id_col, text_col, held_col).mapInArrow(run, f"row long, id {kind}, held_out boolean, n_tokens long, frequent long, log_c double, classes binary, rare binary")
 
 
-def products(obs: np.ndarray, live: list[int], fresh: np.ndarray, m: Model) -> np.ndarray:
-    """Product of each segment's steps (move, then emit), up to a factor; a ``fresh`` segment begins with the start."""
-    s_n, table = len(m.start), np.ascontiguousarray(m.emit.T)
-    moves = np.where(fresh[:, None, None], m.start[None, None, :], m.move[None])
-    out = moves * table[obs[0]][:, None, :]
+def segments(seqs: list[np.ndarray], segment: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Sequences (none empty) cut into segments, longest first: each one's sequence and number in it,
+    tokens by place and segment, sizes, and how many are longer than each place."""
+    cut = [(i, k, s[a : a + segment]) for i, s in enumerate(seqs) for k, a in enumerate(range(0, len(s), segment))]
+    cut.sort(key=lambda c: (-len(c[2]), c[0], c[1]))
+    sizes = np.array([len(c) for _, _, c in cut])
+    rows = np.zeros((len(cut), sizes[0]), np.uint16)
+    for row, (_, _, c) in zip(rows, cut, strict=True):
+        row[: len(c)] = c
+    live = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left").tolist()
+    return np.array([i for i, _, _ in cut]), np.array([k for _, k, _ in cut]), rows.T.astype(np.int64, order="C"), sizes, live
+
+
+def products(obs: np.ndarray, live: list[int], begin: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
+    """``begin`` times each segment's steps (move, then emit), and log10 of the factor taken out.
+
+    States come first and segments last, in ``begin`` (states x rows x segments) too, so that all
+    segments are worked on in runs of memory, and a step is one product of matrices. The first
+    token is in ``begin`` already.
+    """
+    step = np.ascontiguousarray(m.move.T)
+    now, out, logs = begin, np.empty_like(begin), np.zeros(begin.shape[2])
+    s_n, rows = begin.shape[:2]
     for t in range(1, len(live)):
         n = live[t]
-        step = (out[:n].reshape(-1, s_n) @ m.move).reshape(n, s_n, s_n) * table[obs[t, :n]][:, None, :]
-        out[:n] = step / step.max(axis=(1, 2), keepdims=True) if t % 8 == 7 else step
-    return out / out.max(axis=(1, 2), keepdims=True)
+        if n < now.shape[2]:
+            out[:, :, n : now.shape[2]], now = now[:, :, n:], now[:, :, :n]
+        if not n:
+            break
+        now = (step @ now.reshape(s_n, -1)).reshape(s_n, rows, n)
+        now *= m.emit.take(obs[t, :n], axis=1)[:, None, :]
+        if t % 8 == 7:
+            scale = now.max(axis=(0, 1))
+            logs[:n] += np.log10(scale)
+            now /= scale
+    out[:, :, : now.shape[2]] = now
+    scale = out.max(axis=(0, 1))
+    return out / scale, logs + np.log10(scale)
+
+
+def chained(owner: np.ndarray, number: np.ndarray, part: np.ndarray) -> list[np.ndarray]:
+    """Pairs of places in ``part``: a segment of a sequence and its next one; a list for each number."""
+    order = part[np.lexsort((number[part], owner[part]))]
+    back = np.empty(len(owner), np.int64)
+    back[part] = np.arange(len(part))
+    a, b = order[:-1], order[1:]
+    next_to = owner[a] == owner[b]
+    a, b = a[next_to], b[next_to]
+    by = np.argsort(number[a], kind="stable")
+    cuts = np.flatnonzero(np.diff(number[a[by]])) + 1
+    return [back[np.stack([x, y])] for x, y in zip(np.split(a[by], cuts), np.split(b[by], cuts), strict=True)] if len(a) else []
 
 
 def expected_counts(seqs: list[np.ndarray], m: Model, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,65 +212,60 @@ def expected_counts(seqs: list[np.ndarray], m: Model, segment: int = SEGMENT) ->
 
     Sequences are cut into segments, which are all run at once, longest first. What comes before and
     after a segment is a vector each, carried over by the products of the other segments, so cuts
-    change nothing.
+    change nothing. States come first in all arrays, segments last.
     """
     seqs = [s for s in seqs if len(s)]
     s_n, c_n = m.emit.shape
-    start, move, emit = np.zeros(s_n), np.zeros((s_n, s_n)), np.zeros((s_n, c_n))
+    start, move = np.zeros(s_n), np.zeros((s_n, s_n))
     if not seqs:
-        return start, move, emit
-    cut = [(i, k, s[a : a + segment]) for i, s in enumerate(seqs) for k, a in enumerate(range(0, len(s), segment))]
-    cut.sort(key=lambda c: (-len(c[2]), c[0], c[1]))
-    sizes = np.array([len(c) for _, _, c in cut])
-    fresh = np.array([k == 0 for _, k, _ in cut])
-    obs = np.zeros((sizes[0], len(cut)), np.int64)
-    for col, (_, _, c) in enumerate(cut):
-        obs[: len(c), col] = c
-    live = [int(np.searchsorted(-sizes, -t, side="left")) for t in range(sizes[0])]  # segments longer than t
+        return start, move, np.zeros((s_n, c_n))
+    owner, number, obs, sizes, live = segments(seqs, segment)
+    fresh = number == 0
+    emit = np.ascontiguousarray(m.emit)
 
     # Messages: of the states before each segment, and of what follows its last token.
-    before, after = np.full((len(cut), s_n), 1 / s_n), np.ones((len(cut), s_n))
-    many = [len(s) > segment for s in seqs]
-    part = np.array([col for col, (i, _, _) in enumerate(cut) if many[i]], np.int64)
+    before, after = np.full((s_n, len(owner)), 1 / s_n), np.ones((s_n, len(owner)))
+    part = np.flatnonzero(np.array([len(s) > segment for s in seqs])[owner])
     if len(part):
-        product = products(obs[:, part], [int(np.searchsorted(part, n)) for n in live], fresh[part], m)
-        place = {cut[col][:2]: at for at, col in enumerate(part.tolist())}
-        links: list[list[tuple[int, int]]] = [[] for _ in range(max(k for _, k in place))]
-        for (i, k), at in place.items():
-            if (i, k + 1) in place:
-                links[k].append((at, place[i, k + 1]))
-        steps = [np.array(x, np.int64) for x in links]
-        for pairs in steps:
-            a, b = pairs.T
-            v = np.einsum("ns,nst->nt", before[part[a]], product[a])
-            before[part[b]] = v / v.sum(axis=1, keepdims=True)
-        for pairs in reversed(steps):
-            a, b = pairs.T
-            v = np.einsum("nst,nt->ns", product[b], after[part[b]])
-            after[part[a]] = v / v.sum(axis=1, keepdims=True)
-
-    table = np.ascontiguousarray(m.emit.T)
+        moves = np.where(fresh[part], m.start[:, None, None], m.move.T[:, :, None])
+        begin = moves * emit.take(obs[0, part], axis=1)[:, None, :]
+        product, _ = products(obs[:, part], np.searchsorted(part, live).tolist(), begin, m)  # to, from, segment
+        steps = chained(owner, number, part)
+        for a, b in steps:
+            v = np.einsum("sn,tsn->tn", before[:, part[a]], product[:, :, a])
+            before[:, part[b]] = v / v.sum(axis=0)
+        for a, b in reversed(steps):
+            v = np.einsum("tsn,tn->sn", product[:, :, b], after[:, part[b]])
+            after[:, part[a]] = v / v.sum(axis=0)
+
+    step = np.ascontiguousarray(m.move.T)
     ahead, scales = [], []
     for t, n in enumerate(live):
-        a = (np.where(fresh[:, None], m.start, before @ m.move) if t == 0 else ahead[-1][:n] @ m.move) * table[obs[t, :n]]
-        scale = a.sum(axis=1, keepdims=True)
-        ahead.append(a / scale)
+        a = np.where(fresh, m.start[:, None], step @ before) if t == 0 else step @ ahead[-1][:, :n]
+        a *= emit.take(obs[t, :n], axis=1)
+        scale = a.sum(axis=0)
+        a /= scale
+        ahead.append(a)
         scales.append(scale)
-    last = np.stack([ahead[n - 1][col] for col, n in enumerate(sizes)])
-    beta = after / (last * after).sum(axis=1, keepdims=True)
+    last = np.empty((s_n, len(owner)))
+    for t, n in enumerate(live):
+        done = live[t + 1] if t + 1 < len(live) else 0
+        last[:, done:n] = ahead[t][:, done:]
+    beta = after / (last * after).sum(axis=0)
     for t in reversed(range(len(live))):
         n = live[t]
-        gamma = ahead[t] * beta[:n]
-        for s in range(s_n):
-            emit[s] += np.bincount(obs[t, :n], weights=gamma[:, s], minlength=c_n)
-        out = table[obs[t, :n]] * beta[:n] / scales[t]
+        out = emit.take(obs[t, :n], axis=1)
+        out *= beta[:, :n]
+        out /= scales[t]
+        ahead[t] *= beta[:, :n]  # now the share of each state
         if t == 0:
-            start += gamma[fresh].sum(axis=0)
-            move += before[~fresh].T @ out[~fresh]
+            start += ahead[0][:, fresh].sum(axis=1)
+            move += before[:, ~fresh] @ out[:, ~fresh].T
         else:
-            move += ahead[t - 1][:n].T @ out
-            beta[:n] = out @ m.move.T
-    return start, move * m.move, emit
+            move += ahead[t - 1][:, :n] @ out.T
+            beta[:, :n] = m.move @ out
+    codes = np.concatenate([obs[t, :n] for t, n in enumerate(live)])
+    return start, move * m.move, np.stack([np.bincount(codes, weights=np.concatenate([a[s] for a in ahead]), minlength=c_n) for s in range(s_n)])
 
 
 def initial(states: int, class_share: np.ndarray, centre: np.ndarray | None = None, texts: np.ndarray | None = None) -> Model:
@@ -240,12 +285,13 @@ def root_shares(data: list[bytes], classes: int) -> tuple[np.ndarray, np.ndarray
     """Square roots of each text's class shares, and its number of tokens."""
     n = np.array([len(d) // 2 for d in data], np.int64)
     code = np.repeat(np.arange(len(data)) * classes, n) + np.frombuffer(b"".join(data), np.uint16)
-    return np.sqrt(np.bincount(code, minlength=len(data) * classes).reshape(-1, classes) / n[:, None]), n
+    shares = np.bincount(code, minlength=len(data) * classes).reshape(-1, classes) / n[:, None]
+    return np.sqrt(shares, out=shares), n
 
 
 def gaps(root: np.ndarray, centre: np.ndarray) -> np.ndarray:
     """Squared distances of texts to centres."""
-    return np.maximum(0, (root**2).sum(axis=1)[:, None] - 2 * root @ centre.T + (centre**2).sum(axis=1)[None, :])
+    return np.maximum(0, np.einsum("ij,ij->i", root, root)[:, None] - 2 * (root @ centre.T) + (centre**2).sum(axis=1)[None, :])
 
 
 def text_clusters(sequences: DataFrame, class_share: np.ndarray, states: int, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
@@ -336,44 +382,33 @@ def trained(sequences: DataFrame, classes: int, states: int, rounds: int) -> Mod
 
 
 def log10_forward(seqs: list[np.ndarray], m: Model) -> np.ndarray:
-    """log10 probability of each class sequence, by the scaled forward recursion.
+    """log10 probability of each class sequence (none empty), by the scaled forward recursion.
 
-    Row vector times one matrix per token; the matrices of a segment are multiplied for all
-    segments at once, then each sequence's segments in order.
+    Row vector times one matrix per token. The first segment of each sequence is run as a vector;
+    the matrices of the others are multiplied for all segments at once, then each sequence's
+    segments in order.
     """
-    s_n, table = len(m.start), np.ascontiguousarray(m.emit.T)
-    out = np.zeros(len(seqs))
-    rest = [s[1:] for s in seqs]
-    cut = [(i, s[a : a + SEGMENT]) for i, s in enumerate(rest) for a in range(0, len(s), SEGMENT)]
-    order = sorted(range(len(cut)), key=lambda k: -len(cut[k][1]))
-    sizes = np.array([len(cut[k][1]) for k in order], np.int64)
-    obs = np.zeros((int(sizes.max(initial=0)), len(cut)), np.int64)
-    for col, k in enumerate(order):
-        obs[: len(cut[k][1]), col] = cut[k][1]
-    product = np.broadcast_to(np.eye(s_n), (len(cut), s_n, s_n)).copy()
-    logs = np.zeros(len(cut))
-    for t in range(len(obs)):
-        n = int(np.searchsorted(-sizes, -t, side="left"))
-        step = (product[:n].reshape(-1, s_n) @ m.move).reshape(n, s_n, s_n) * table[obs[t, :n]][:, None, :]
-        if t % 8 == 7 or t == len(obs) - 1:
-            scale = step.max(axis=(1, 2))
-            logs[:n] += np.log10(scale)
-            step /= scale[:, None, None]
-        product[:n] = step
-    first = np.array([s[0] for s in seqs], np.int64)
-    state = m.start * table[first]
-    back = np.empty(len(cut), np.int64)
-    back[order] = np.arange(len(cut))
-    owner = np.array([i for i, _ in cut], np.int64)
-    number = np.arange(len(cut)) - np.searchsorted(owner, owner) if len(cut) else owner
-    for k in range(int(number.max(initial=-1)) + 1):
-        which = np.flatnonzero(number == k)
-        i, col = owner[which], back[which]
-        v = np.einsum("ns,nst->nt", state[i], product[col])
-        scale = v.sum(axis=1)
-        out[i] += np.log10(scale) + logs[col]
-        state[i] = v / scale[:, None]
-    return out + np.log10(state.sum(axis=1))
+    if not seqs:
+        return np.zeros(0)
+    owner, number, obs, _, live = segments(seqs, SEGMENT)
+    state, out = np.zeros((len(m.start), len(seqs))), np.zeros(len(seqs))
+    for first in (True, False):
+        part = np.flatnonzero((number == 0) == first)
+        if not len(part):
+            continue
+        begin = m.emit.take(obs[0, part], axis=1)[:, None, :] * (m.start[:, None, None] if first else m.move.T[:, :, None])
+        product, logs = products(obs[:, part], np.searchsorted(part, live).tolist(), begin, m)
+        if first:
+            state[:, owner[part]], out[owner[part]] = product[:, 0], logs
+            continue
+        by = np.argsort(number[part], kind="stable")
+        for col in np.split(by, np.flatnonzero(np.diff(number[part[by]])) + 1):
+            i = owner[part[col]]
+            v = np.einsum("sn,tsn->tn", state[:, i], product[:, :, col])
+            scale = v.sum(axis=0)
+            out[i] += np.log10(scale) + logs[col]
+            state[:, i] = v / scale
+    return out + np.log10(state.sum(axis=0))
 
 
 def language_model_scores(df: DataFrame, id_col: str, text_col: str, held_col: str, states: int = 6, rounds: int = 3, share: float = 1e-6) -> DataFrame:

@@ -287,6 +287,50 @@ def test_forward_is_exact():
     assert log10_forward(long, m)[0] == pytest.approx(log)
 
 
+def test_forward_of_first_segments_is_a_vector(monkeypatch):
+    import numpy as np
+
+    from ramify.llm import hmm_lm
+
+    shapes, products = [], hmm_lm.products
+    monkeypatch.setattr(hmm_lm, "products", lambda obs, live, begin, m: shapes.append(begin.shape) or products(obs, live, begin, m))
+    rng = np.random.default_rng(3)
+    m = hmm_lm.initial(3, np.array([0.5, 0.2, 0.3]))
+    seqs = [rng.integers(0, 3, n).astype(np.uint16) for n in (128, 1, 300, 40, 129)]
+    want = []
+    for s in seqs:  # token by token
+        state, log = m.start * m.emit[:, s[0]], 0.0
+        for c in s[1:]:
+            state = state @ m.move * m.emit[:, c]
+            log, state = log + np.log10(state.sum()), state / state.sum()
+        want.append(log + np.log10(state.sum()))
+    assert hmm_lm.log10_forward(seqs, m) == pytest.approx(want)
+    assert shapes == [(3, 1, 5), (3, 3, 3)]  # states, rows, segments: matrices for later segments only
+
+
+def test_class_sequences_of_many_texts_at_once(spark):
+    import math
+
+    import numpy as np
+    import xxhash
+
+    from ramify.llm import hmm_lm
+
+    texts = ["one two One", "", None, " rare\tone ", "two " * 200]
+    known = np.array(sorted(hmm_lm.word_hashes([b"one", b"two"])), np.int64)
+    sent = spark.sparkContext.broadcast((known, np.array([4, 9]), np.array([0, -1])))
+    df = spark.createDataFrame([(i, t, False) for i, t in enumerate(texts)], "id long, text string, held boolean").coalesce(1)
+    place = {w: known.tolist().index(xxhash.xxh64_intdigest(w) - (1 << 63)) for w in (b"one", b"two")}
+    rows = hmm_lm.class_sequences(df, "id", "text", "held", sent).orderBy("id").collect()
+    for r, words in zip(rows, [hmm_lm.tokens((t or "").encode()) for t in texts], strict=True):
+        seen = [place[w] for w in words if w in place]
+        rare = [xxhash.xxh64_intdigest(w) - (1 << 63) for w in words if w not in place]
+        assert (r.n_tokens, r.frequent) == (len(words), len(seen)) and r.log_c == pytest.approx(sum(math.log10((5, 10)[k]) for k in seen))
+        assert np.frombuffer(r.rare, np.int64).tolist() == rare
+        own = [0 if place.get(w) == 0 else int(hmm_lm.SINGLE_CLASSES + hmm_lm.suffix_classes([w])[0]) for w in words]
+        assert np.frombuffer(r.classes, np.uint16).tolist() == own
+
+
 def test_language_model_starts_from_all_texts(spark):
     import numpy as np
 
